@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
 from ..session import table
-from . import groups, mixing, survivor, tokens, visual
+from . import groups, mixing, spans, survivor, tokens, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_record, p7_found, p7_classes, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    got = spans.shared_spans(table(spark, d, "documents"))
+    return got.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with a shared span: number of spans, shared characters and their part of the text."""
+    got = spans.shared_spans(table(spark, d, "documents"))
+    return got.select("doc_id", "n_chars", F.size("spans").alias("n_spans"), "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_record, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 _GROUPS = """
 WITH RECURSIVE e AS (
