@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
 from ..session import table
-from . import groups, mixing, spans, survivor, tokens, visual
+from . import cooccur, groups, mixing, spans, survivor, tokens, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.match_groups(table(spark, d, "meta_entity_resolution_audit"), "redirect_from_id", "redirect_to_id", "table_name")
 
 
+def _together(spark: SparkSession, d: str) -> DataFrame:
+    got = cooccur.together(table(spark, d, "credits"), "role", "anime_id", "person_id")
+    return got.withColumnsRenamed({"s": "role", "a": "person_a", "b": "person_b"})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _together(spark, d).select("role", "person_a", "person_b")
+
+
+def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with shared works, ratio to chance, the null's mean, p-value and q-value."""
+    return _together(spark, d).select("role", "person_a", "person_b", F.col("c").alias("shared"), "lift", "expected", "p_value", "q_value")
+
+
 def _group_rows(spark: SparkSession, d: str) -> DataFrame:
     audit = table(spark, d, "meta_entity_resolution_audit").filter(clean_id("table_name") == "anime")
     member = groups.match_groups(audit, "redirect_from_id", "redirect_to_id", "table_name").select("group_id", F.col("record_id").alias("key"))
@@ -67,7 +81,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.size("spans").alias("n_spans"), "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_record, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_surprise, p5_found, p5_record, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 _GROUPS = """
 WITH RECURSIVE e AS (
@@ -88,6 +102,11 @@ _FIELDS = " UNION ALL ".join(
 )
 
 SQL = {
+    "p2_found": """WITH x AS (SELECT DISTINCT role, lower(trim(anime_id)) AS w, lower(trim(person_id)) AS p FROM credits WHERE role IS NOT NULL AND trim(anime_id) <> '' AND trim(person_id) <> ''),
+n AS (SELECT role, count(DISTINCT w) AS n FROM x GROUP BY role), k AS (SELECT role, p, count(*) AS k FROM x GROUP BY role, p),
+c AS (SELECT a.role, a.p AS person_a, b.p AS person_b, count(*) AS c FROM x a JOIN x b ON a.role = b.role AND a.w = b.w AND a.p < b.p GROUP BY ALL)
+SELECT c.role, person_a, person_b FROM c JOIN n ON n.role = c.role JOIN k ka ON ka.role = c.role AND ka.p = person_a JOIN k kb ON kb.role = c.role AND kb.p = person_b
+WHERE c >= 5 AND c * n >= 4 * ka.k * kb.k""",
     "p1_found": _GROUPS + "SELECT table_name, group_id, record_id FROM grp",
     "p5_found": _GROUPS
     + f""", m0 AS (SELECT g.group_id, a.*, count(*) OVER (PARTITION BY g.group_id) AS n FROM grp g JOIN anime a ON g.table_name = 'anime' AND lower(trim(a.canonical_id)) = g.record_id),
