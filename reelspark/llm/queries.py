@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
 from ..session import table
-from . import cooccur, groups, mixing, names, spans, survivor, tokens, visual
+from . import cooccur, groups, linkage, mixing, names, spans, survivor, tokens, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,15 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
     return _together(spark, d).select("role", "person_a", "person_b", F.col("c").alias("shared"), "lift", "expected", "p_value", "q_value")
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with their confidence."""
+    return linkage.link_records(table(spark, d, "anime"), table(spark, d, "bronze_anime"), "canonical_id", "id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("canonical_id", "raw_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.cluster_pairs(names.name_clusters(table(spark, d, "characters"), table(spark, d, "character_voice_actors")))
 
@@ -89,7 +98,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.size("spans").alias("n_spans"), "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_surprise, p4_found, p4_clusters, p5_found, p5_record, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_surprise, p3_found, p3_matches, p4_found, p4_clusters, p5_found, p5_record, p7_found, p7_classes, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 _GROUPS = """
 WITH RECURSIVE e AS (
