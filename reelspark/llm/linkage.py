@@ -233,5 +233,5 @@ def link_records(works: DataFrame, raw: DataFrame, works_key: str, raw_key: str)
     pairs = final.join(member.select(F.col("node").alias("a"), F.col("key").alias("wk")), "a").join(member.select(F.col("node").alias("r"), F.col("key").alias("rk")), "r")
     pairs = pairs.groupBy("wk", "rk").agg(F.max("s").alias("s"))
     best = pairs.groupBy("rk").agg(F.max("s").alias("top"))
-    out = pairs.join(best, "rk").filter((F.col("s") >= ACCEPT) & (F.col("s") >= F.col("top") - NEAR))
+    out = pairs.join(best, "rk").filter((F.col("s") >= ACCEPT) & (F.col("s") >= F.least(F.col("top"), F.lit(1.0)) - NEAR))
     return out.select(F.col("wk").alias(works_key), F.col("rk").alias("raw_id"), F.least(F.lit(1.0), F.col("s")).alias("confidence"))

@@ -144,11 +144,23 @@ def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], end[np.append(at[1:], len(lo)) - 1]
 
 
+#: Characters hashed at once; a longer text is still hashed as a whole.
+CHUNK = 1 << 20
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of about ``CHUNK`` characters."""
+    for b in batches:
+        if len(b):
+            at = b["text"].str.len().cumsum().to_numpy() // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(b)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield b.iloc[i:j]
+
+
 def _picks(length: int, min_len: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _chunks(batches):
             codes, starts = _codes(b["text"].tolist())
             at, h = _picked(codes, starts, length, min_len)
             i = np.searchsorted(starts, at, "right") - 1
@@ -159,9 +171,7 @@ def _picks(length: int, min_len: int):  # noqa: ANN202
 
 def _windows(length: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _chunks(batches):
             codes, starts = _codes(b["text"].tolist())
             at = np.flatnonzero(_inside(starts, length))
             if not len(at):
