@@ -130,6 +130,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(names, "LIMIT", 2)
     n = 12
     df = spark.createDataFrame([(f"c:{i:02d}", "鶴城 颯季丸" if i % 2 else "鶴城 颯希丸", "", "[]", None) for i in range(n)], "id string, name_ja string, name_en string, aliases string, date_of_birth string")
+    df = df.union(spark.createDataFrame([(f"y:{i:03d}", f"別人{i}号", "", "[]", None) for i in range(200)], df.schema))
     cast = spark.createDataFrame([(f"c:{i:02d}", "w:1", "p:1") for i in range(n)], "character_id string, anime_id string, person_id string")
     shelf = Shelf(spark, "t")
     ctx = names.context(df, cast)
