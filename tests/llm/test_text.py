@@ -91,6 +91,19 @@ def test_spans_equal_brute_force(spark, n, first):
     assert all(r.shared_chars == sum(s.end - s.start for s in r.spans) for r in got)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abc def東京。") for _ in range(300_000))
+    texts = [long, "a" * 60_000, long[1000:250_000] + "!", " " * 9000 + "x"]
+    enc = tokens.encoding(tokens.vocabulary())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokens.encode_documents(df, ["doc_id"]).collect()}
+    assert all(got[i] == enc.encode_ordinary(t) for i, t in enumerate(texts))
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in spans.shared_spans(df).collect()}
+    assert found == {0: [(1000, 250_000)], 2: [(0, 249_000)]}
+    assert len(visual.visual_form(long, {})) > 200_000
+
+
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")
     assert spans.shared_spans(df).collect() == []
