@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.functions.textual import canonical_id, date_precision, dates_compatible, difference_kind, indel, indel_ratio, nfkc, parse_date
+from reelspark.functions.textual import canonical_id, date_precision, dates_compatible, difference_kind, indel, indel_ratio, nfkc, parse_date, parse_episodes
 from reelspark.sources import store
 from reelspark.streaming import events as ev
 
@@ -77,6 +77,12 @@ def test_text_functions(spark):
     assert one[0].n == "AB" and one[0].r == 1.0 and one[1].r is None and len(one[0].c) == 14
 
 
+def test_episodes(spark):
+    raw = [("#1-3, 5", [1, 2, 3, 5]), ("第１２話、OP2", [12]), ("9~7 8", [8]), ("1-9999", []), (None, []), ("none", [])]
+    df = spark.createDataFrame(raw, "t string, want array<int>").select(parse_episodes(F.col("t")).alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect())
+
+
 def test_streams_equal_batches(spark, tmp_path):
     path = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(path)
