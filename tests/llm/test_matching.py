@@ -164,3 +164,49 @@ def test_linkage(spark):
     assert {("a:1", "R1"), ("a:2", "r2"), ("a:4", "R1")} <= got
     assert not {x for x in got if x[1] in ("r3", "r4") or x[0] in ("a:5", "a:6")} and ("a:3", "r2") not in got
     assert linkage.link_records(w, r.limit(0), "canonical_id", "id").collect() == []
+
+
+PEOPLE = "id string, name_ja string, name_en string, aliases string, date_of_birth string"
+CAST = "character_id string, anime_id string, person_id string"
+
+
+def test_common_items_are_paired_whole(spark, monkeypatch):
+    monkeypatch.setattr(names, "LIMIT", 2)
+    one, two = ("鶴城 颯季丸", "Satsukimaru Tsurushiro"), ("鶴城 颯希丸", "Satsukimaru Tsurushira")
+    rows = [("x:1", *one), ("x:2", *one), ("y:1", *two), ("y:2", *two), *[(f"z:{i}", f"別{chr(0x4E00 + 97 * i)}{chr(0x5E00 + 61 * i)}号", "") for i in range(60)]]
+    df = spark.createDataFrame([(*r, "[]", None) for r in rows], PEOPLE)
+    cast = spark.createDataFrame([(r[0], "w:1" if i < 12 else f"w:{i}", None) for i, r in enumerate(rows)], CAST)
+    got = {tuple(r) for r in names.cluster_pairs(names.name_clusters(df, cast)).collect()}
+    assert got == set(itertools.combinations(["x:1", "x:2", "y:1", "y:2"], 2))
+
+
+@pytest.mark.parametrize("limit", [1000, 7, 2])
+def test_candidates_equal_all_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(names, "LIMIT", limit)
+    rng = random.Random(limit)
+    syllables = ["ka", "mo", "ri", "shi", "te", "na", "ke", "n", "ro", "u", "ji", "sa"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    rows = []
+    for i in range(70):
+        base = rng.choice(rows)[2].split(" ") if rows and rng.random() < 0.5 else [word() for _ in range(rng.randrange(1, 4))]
+        k = rng.randrange(len(base))
+        base[k] = rng.choice([base[k][:1], base[k][:3], base[k][::-1], base[k] + "o", word()])
+        rng.shuffle(base)
+        rows.append((f"c:{i:02d}", rng.choice(["", "鶴城 颯季丸", "モリ・ケン", "もり"]), " ".join(base), "[]", rng.choice([None, "1990-01-02", "--01-02"])))
+    df = spark.createDataFrame(rows, PEOPLE)
+    cast = [(r[0], f"w:{i % 3}", f"p:{i % 5}") for i, r in enumerate(rows)]
+    ctx = names.context(df, spark.createDataFrame(cast, CAST))
+    forms = df.select("id", "name_ja", "name_en", "aliases").mapInPandas(names._spell_rows, "id string, forms array<string>")
+    item, kind = {}, {}
+    for r in ctx.collect():
+        item.setdefault(r.id, set()).add(r.item)
+        kind[r.item] = r.kind
+    want = {}
+    for x, y in itertools.combinations(rows, 2):
+        both = item.get(x[0], set()) & item.get(y[0], set())
+        least = min((names.LEAST_DAY if kind[i] == "day" else names.LEAST for i in both), default=2)
+        s = names.row_similarity(names.spellings(*x[1:4]), names.spellings(*y[1:4]))
+        if s >= least:
+            want[x[0], y[0]] = round(s, 9)
+    assert len(want) > 20
+    assert {(r.a, r.b): round(r.sim, 9) for r in names.candidates(forms, ctx, Shelf(spark, "t")).collect()} == want
