@@ -210,3 +210,18 @@ def test_candidates_equal_all_pairs(spark, monkeypatch, limit):
             want[x[0], y[0]] = round(s, 9)
     assert len(want) > 20
     assert {(r.a, r.b): round(r.sim, 9) for r in names.candidates(forms, ctx, Shelf(spark, "t")).collect()} == want
+
+
+def test_common_items_support_links(spark):
+    n = 300
+    name = lambda i: f"別{chr(0x4E00 + 97 * i)}{chr(0x5E00 + 31 * i)}{chr(0x6E00 + 17 * i)}号"
+    known = {0: ("鶴城 颯季丸", ""), 1: ("鶴城 颯季丸", ""), 2: ("", "Kenjiro Morino Hanasaki"), 3: ("", "K. Morino H."), 298: ("鶴城 颯季丸", ""), 299: ("", "Kenjiro Morino Hanasaki")}
+    df = spark.createDataFrame([(f"c:{i:03d}", *known.get(i, (name(i), "")), "[]", None) for i in range(n)], PEOPLE)
+    # a third of all rows has voice p:hot, the rows 2 to 101 also work w:hot, and every row w:all
+    cast = [(f"c:{i:03d}", "w:hot" if 2 <= i < 102 else None, "p:hot" if i < 100 else None) for i in range(n)] + [(f"c:{i:03d}", "w:all", None) for i in range(n)]
+    cast = spark.createDataFrame(cast, CAST)
+    w = {r.item: r.w for r in names.context(df, cast).collect()}
+    assert set(w) == {"v:p:hot", "w:w:hot"} and all(0.15 < x < 0.25 for x in w.values())
+    shelf = Shelf(spark, "t")
+    got = {(r.a, r.b): round(r.support, 6) for r in names.links(df, cast, shelf).collect()}
+    assert got == {("c:000", "c:001"): round(w["v:p:hot"], 6), ("c:002", "c:003"): round(sum(w.values()), 6)}
