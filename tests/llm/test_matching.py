@@ -225,3 +225,16 @@ def test_common_items_support_links(spark):
     shelf = Shelf(spark, "t")
     got = {(r.a, r.b): round(r.support, 6) for r in names.links(df, cast, shelf).collect()}
     assert got == {("c:000", "c:001"): round(w["v:p:hot"], 6), ("c:002", "c:003"): round(sum(w.values()), 6)}
+
+
+def test_initials_are_found_in_items_of_any_size(spark):
+    n = 1100
+    pairs = [("Kenichiro Masatoshi Takeshi", "K. M. T."), ("Hanasaki Morino", "H. Mo"), ("Aleksander Wolkow", "Aleks Wol")]
+    rows = [(f"x:{i}{k}", "", p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    rows += [(f"z:{i:04d}", f"別{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 3 * i)}{chr(0x6E00 + 5 * i)}号", "") for i in range(n)]
+    df = spark.createDataFrame([(*r, "[]", None) for r in rows], PEOPLE)
+    for size in (6, n):
+        cast = spark.createDataFrame([(r[0], "w:1", None) for r in rows[:size]] + [(r[0], "w:2", None) for r in rows[-3:]], CAST)
+        forms = df.select("id", "name_ja", "name_en", "aliases").mapInPandas(names._spell_rows, "id string, forms array<string>")
+        got = {(r.a, r.b) for r in names.candidates(forms, names.context(df, cast), Shelf(spark, f"t{size}")).collect()}
+        assert {(f"x:{i}0", f"x:{i}1") for i in range(3)} <= got
