@@ -6,16 +6,16 @@ Method: collective graph linkage.
    visual form without decoration, the season number and the film mark read
    from them, year, date and episode count where they are possible values.
    Rows with equal profiles are one node, so copies cost nothing.
-2. Candidate graph.  The attributes of a node are the long q-grams of its
-   titles and its exact date.  An attribute weighs -log of its share of nodes.
-   Two nodes are candidates if they share an attribute that is among the rarest
-   of both: an attribute is left out only when those left out together weigh
-   less than ``OVERLAP`` of the node's channel, so nodes that share ``OVERLAP``
-   of the weight of a channel always meet.
-3. Meta-blocking.  A candidate edge weighs the sum of its shared rare
-   attributes; an edge below ``KEEP`` of the best edge of both its nodes goes,
-   as do edges between different seasons, film and series, or years apart,
-   unless both start on the same day.
+2. Candidate graph.  An accepted pair has one title of score ``TITLE`` or more,
+   or starts on the same day.  All pairs of titles within the edits that score
+   allows are found by Pass-Join: the longer title is cut into one part more
+   than edits, one of which must stand in the shorter.  Titles shortened by one
+   gap are found by the rarest grams of the shorter.  Equal full dates meet too.
+3. Weaker pairs, which only propagation can raise, are taken from the rarest
+   q-grams up to ``OVERLAP`` of a channel's weight; of these an edge below
+   ``KEEP`` of the best edge of both its nodes goes (meta-blocking).  Edges
+   between different seasons, film and series, or years apart go, unless both
+   start on the same day.
 4. Similarity.  Edits of the titles, agreement of year, date and episodes.
 5. Propagation.  Nodes of one table that carry the same title and season are
    neighbours.  A pair's similarity moves towards the mean similarity of its
@@ -33,7 +33,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +49,14 @@ from .visual import _EXTRA, lookalikes, visual_form
 Q_JA, Q_EN = 3, 8
 OVERLAP = 0.5
 KEEP = 0.25
+#: Least score of one title of an accepted pair, unless both start on the same day: ``ACCEPT`` less all that year, month and episodes can add.
+TITLE = 0.65
+#: Length of the grams that find shortened titles.
+GAP = 3
+#: Longer titles are met by grams instead of parts, of which they would have too many.
+LONG = 128
+#: Titles cut at once, for the worker's memory.
+PIECE = 200
 ACCEPT = 0.77
 NEAR = 0.12
 PULL = 0.3
@@ -146,18 +156,112 @@ def rare_attributes(nodes: DataFrame, shelf: Shelf) -> DataFrame:
     return rare.select("node", "attr", "w")
 
 
+def most_edits(longest: int) -> int:
+    """The most edits at which ``_title_score`` still gives ``TITLE`` to texts of which the longer has this length."""
+    by_ratio = int(longest * (1 - TITLE / 0.85) + 1e-9)
+    return max(by_ratio, 2 if longest >= 8 else 1 if longest >= 4 else 0)
+
+
+@lru_cache(maxsize=4096)
+def _segments(m: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts a text of length ``m`` is cut into: one more than its edits, so one stays whole."""
+    k = min(most_edits(m) + 1, m)
+    return [(i * m // k, (i + 1) * m // k - i * m // k) for i in range(k)]
+
+
+def _key(m: int, i: int, part: str) -> int:
+    return zlib.crc32(part.encode()) << 24 | (m & 0xFFFF) << 8 | i & 0xFF
+
+
+def segment_keys(text: str) -> tuple[list[int], list[int]]:
+    """(keys as the longer text, keys as the shorter): texts within ``most_edits`` of the longer's length share one.
+
+    A part is looked for only where it can lie if no earlier and no later part is whole (multi-match-aware
+    positions of Pass-Join): at most i to either side from the left, and as many as parts follow from the right.
+    """
+    n = len(text)
+    if n > LONG:
+        return [], []
+    own = [_key(n, i, text[p : p + k]) for i, (p, k) in enumerate(_segments(n))]
+    found: set[int] = set()
+    m = n
+    while m <= LONG and m - n <= most_edits(m):
+        most, gap = most_edits(m), n - m
+        for i, (p, k) in enumerate(_segments(m)):
+            left, right = i, most - i
+            for at in range(max(0, p - left, p + gap - right), min(n - k, p + left, p + gap + right) + 1):
+                found.add(_key(m, i, text[at : at + k]))
+        m += 1
+    return own, list(found)
+
+
+def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), PIECE):
+            part = b.iloc[at : at + PIECE]
+            keys = [segment_keys(t) for t in part["text"]]
+            yield pd.DataFrame({"side": part["side"], "text": part["text"], "long": [k[0] for k in keys], "short": [k[1] for k in keys]})
+
+
+def similar_titles(nodes: DataFrame, c: str, shelf: Shelf) -> DataFrame:
+    """(c_a, c_r): all pairs of distinct titles of the two sides, of works that agree in season, kind and year, that
+    ``_title_score`` gives ``TITLE`` or more, if one differs from the other by edits or by one gap.
+    """
+    named = nodes.filter(F.length(c) > 0).select("node", "side", "season", "film", "year", F.col(c).alias("text"))
+    # as titles, with what must agree: pairs that only start on the same day meet by their date
+    kind = ["season", "film", "year"]
+    texts = shelf.put(named.select("side", "text", *kind).distinct(), f"texts_{c}")
+    cut = texts.select("side", "text").distinct().repartition(12).mapInPandas(_segment_rows, "side string, text string, long array<long>, short array<long>")
+    keyed = shelf.put(cut, f"keys_{c}").join(texts, ["side", "text"])
+
+    def pick(x: DataFrame, s: str, key: Column) -> DataFrame:
+        return x.filter(F.col("side") == s).select(key.alias("key"), "season", "film", F.col("year").alias(f"year_{s}"), F.col("text").alias(f"{c}_{s}"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        met = x.join(y, ["key", "season", "film"]).filter(F.coalesce(F.abs(F.col("year_a") - F.col("year_r")) <= 1, F.lit(True)))
+        return met.select(f"{c}_a", f"{c}_r")
+
+    long, short = F.explode("long"), F.explode("short")
+    near = meet(pick(keyed, "a", long), pick(keyed, "r", short)).unionByName(meet(pick(keyed, "a", short), pick(keyed, "r", long)))
+    # shortened titles: one gap spoils less than GAP grams of the shorter text, so one of its GAP rarest is in the longer
+    grams = shelf.put(texts.select("side", "text").distinct().withColumn("text_", F.col("text")).select("side", "text", F.explode(F.array_union(_grams("text_", GAP), _grams("text_", 2))).alias("gram")), f"grams_{c}")
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("side", "text").orderBy("df", "gram"))
+    fit = (F.length("gram") == 2) == (F.length("text") < GAP + 2)  # a gap may spoil all longer grams of a short text
+    # longer texts than LONG, and those as long as their edits allow: each edit spoils GAP grams, so one of the rarest is left
+    size = F.length("text")
+    most = F.when(size > LONG * TITLE / 0.85 - 1, GAP * F.ceil(size * (0.85 / TITLE - 1)) + 1).otherwise(GAP)
+    rare = grams.filter(fit).join(df, "gram").withColumn("k", rank).filter(F.col("k") <= most)
+    rare, grams = (x.join(texts, ["side", "text"]) for x in (rare, grams))
+    gram = F.col("gram")
+    for x, y in ((rare, grams), (grams, rare)):
+        near = near.unionByName(meet(pick(x, "a", gram), pick(y, "r", gram)))
+    return near.distinct().filter(_title_score(c)[0] >= TITLE)
+
+
+def _fits() -> Column:
+    same = (F.col("season_a") == F.col("season_r")) & (F.col("film_a") == F.col("film_r")) & F.coalesce(F.abs(F.col("year_a") - F.col("year_r")) <= 1, F.lit(True))
+    return same | F.coalesce(F.col("date_a") == F.col("date_r"), F.lit(False))  # a mistyped season number or year, but the same day
+
+
+def _side(x: DataFrame, s: str, *more: str) -> DataFrame:
+    return x.filter(F.col("side") == s).select(F.col("node").alias(s), F.col("season").alias(f"season_{s}"), F.col("film").alias(f"film_{s}"), F.col("year").alias(f"year_{s}"), F.when(F.length("date") == 10, F.col("date")).alias(f"date_{s}"), *more)
+
+
 def candidate_edges(nodes: DataFrame, shelf: Shelf) -> DataFrame:
-    """(a, r, weight) between the sides, pruned by meta-blocking."""
+    """(a, r) between the sides: those of similar titles, and those of shared rare attributes as left by meta-blocking."""
     rare = shelf.put(rare_attributes(nodes, shelf).join(nodes.select("node", "side", "season", "film", "year", "date"), "node"), "rare")
-    a, r = (rare.filter(F.col("side") == s).select("attr", "w", F.col("node").alias(x), F.col("season").alias(f"season_{x}"), F.col("film").alias(f"film_{x}"), F.col("year").alias(f"year_{x}"), F.when(F.length("date") == 10, F.col("date")).alias(f"date_{x}")) for s, x in (("a", "a"), ("r", "r")))
-    r = r.drop("w")
-    same = (F.col("season_a") == F.col("season_r")) & (F.col("film_a") == F.col("film_r")) & F.coalesce(F.abs(F.col("year_a") - F.col("year_r")) <= 1, F.lit(True))
-    fits = same | F.coalesce(F.col("date_a") == F.col("date_r"), F.lit(False))  # a mistyped season number or year, but the same day
-    edges = shelf.put(a.join(r, "attr").filter(fits).groupBy("a", "r").agg(F.sum("w").alias("weight")), "edges")
+    edges = shelf.put(_side(rare, "a", "attr", "w").join(_side(rare, "r", "attr"), "attr").filter(_fits()).groupBy("a", "r").agg(F.sum("w").alias("weight")), "edges")
     best_a = edges.groupBy("a").agg(F.max("weight").alias("best_a"))
     best_r = edges.groupBy("r").agg(F.max("weight").alias("best_r"))
-    edges = edges.join(best_a, "a").join(best_r, "r")
-    return edges.filter(F.col("weight") >= F.lit(KEEP) * F.least("best_a", "best_r")).select("a", "r", "weight")
+    out = edges.join(best_a, "a").join(best_r, "r").filter(F.col("weight") >= F.lit(KEEP) * F.least("best_a", "best_r")).select("a", "r")
+    day = _side(nodes, "a").join(_side(nodes, "r"), F.col("date_a") == F.col("date_r")).select("a", "r")
+    out = out.unionByName(day)
+    for c in ("ja", "en"):
+        titles = shelf.put(similar_titles(nodes, c, shelf), f"titles_{c}")
+        met = titles.join(_side(nodes, "a", F.col(c).alias(f"{c}_a")), f"{c}_a").join(_side(nodes, "r", F.col(c).alias(f"{c}_r")), f"{c}_r")
+        out = out.unionByName(met.filter(_fits()).select("a", "r"))
+    return out.distinct()
 
 
 def _title_score(c: str) -> tuple[Column, Column]:
@@ -188,7 +292,7 @@ def similarity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     other = F.when((F.col("season_a") != F.col("season_r")) | (F.col("film_a") != F.col("film_r")), -0.15).otherwise(0.0)
     off = F.abs(F.col("episodes_a") - F.col("episodes_r"))
     eps = F.when(off == 0, 0.03).when(off <= 2, 0.0).when(off > 2, -0.08).otherwise(0.0)
-    return edges.withColumn("s", title + year + date + other + F.coalesce(eps, F.lit(0.0))).select("a", "r", "weight", "s")
+    return edges.withColumn("s", title + year + date + other + F.coalesce(eps, F.lit(0.0))).select("a", "r", "s")
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, shelf: Shelf, most: int = 10) -> DataFrame:

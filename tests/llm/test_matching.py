@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.llm import cooccur, linkage, minhash, names, survivor
 from reelspark.session import Shelf
@@ -238,3 +239,37 @@ def test_initials_are_found_in_items_of_any_size(spark):
         forms = df.select("id", "name_ja", "name_en", "aliases").mapInPandas(names._spell_rows, "id string, forms array<string>")
         got = {(r.a, r.b) for r in names.candidates(forms, names.context(df, cast), Shelf(spark, f"t{size}")).collect()}
         assert {(f"x:{i}0", f"x:{i}1") for i in range(3)} <= got
+
+
+def test_title_candidates_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        ja = "".join(chr(0x4E00 + rng.randrange(40)) for _ in range(rng.choice([3, 4, 6, 12, 15])))
+        en = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([5, 13, 30, 45, 150])))
+        for side in "ar":
+            j, e = list(ja), list(en)
+            if side == "r":
+                for t in (j, e):
+                    for _ in range(rng.randrange(0, max(2, len(t) // 5))):
+                        t[rng.randrange(len(t))] = rng.choice("三四五xyz")
+                if i % 4 == 0:  # shortened by one gap
+                    k = rng.randrange(1, 3)
+                    j, e = j[:k] + j[-2:], e[: 2 * k] + e[-3:]
+            rows.append((side, "".join(j), "".join(e)))
+    rows += [("a", "青い箱庭の探偵社物語集", ""), ("r", "青い猫庭の探偵者物語集", ""), ("a", "", "bluegardenags"), ("r", "", "bluegaxdenags")]
+    nodes = spark.createDataFrame([(i, *r, 1, False, None, None) for i, r in enumerate(rows)], "node long, side string, ja string, en string, season int, film boolean, year int, date string").cache()
+    pairs = nodes.filter("side = 'a'").crossJoin(nodes.filter("side = 'r'").select(*[nodes[c].alias(f"{c}_r") for c in ("node", "ja", "en")])).withColumnsRenamed({"node": "a", "node_r": "r", "ja": "ja_a", "en": "en_a"})
+
+    def one_gap(x, y):
+        x, y = sorted((x, y), key=len)
+        return len(x) >= 3 and any(y.startswith(x[:k]) and y.endswith(x[k:]) for k in range(len(x) + 1))
+
+    want = set()
+    for c in ("ja", "en"):
+        near = pairs.filter(linkage._title_score(c)[0] >= linkage.TITLE)
+        for x in near.select("a", "r", f"{c}_a", f"{c}_r", F.levenshtein(f"{c}_a", f"{c}_r")).collect():
+            if x[4] <= linkage.most_edits(max(len(x[2]), len(x[3]))) or one_gap(x[2], x[3]):
+                want.add((x[0], x[1]))
+    got = {tuple(x) for x in linkage.candidate_edges(nodes, Shelf(spark, "t")).select("a", "r").collect()}
+    assert len(want) > 50 and not [(rows[a], rows[r]) for a, r in want - got]
