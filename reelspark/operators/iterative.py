@@ -35,30 +35,6 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
             return cur
 
 
-def k_core(edges: DataFrame, shelf: Shelf) -> DataFrame:
-    """(node, core) of undirected edges: nodes below the current degree are peeled until none is left."""
-    graph = shelf.put(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "core0")
-    out, i, k = None, 0, 1
-    while True:
-        deg = shelf.put(graph.groupBy("src").agg(F.count("*").alias("n")), f"deg{i}")
-        low = deg.agg(F.min("n")).first()[0]
-        if low is None:
-            break
-        k = max(k, low)
-        gone = shelf.put(deg.filter(F.col("n") <= k).select(F.col("src").alias("node"), F.lit(k).alias("core")), f"gone{i}")
-        out = gone if out is None else out.unionByName(gone)
-        left = graph.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
-        left = left.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-        # nodes whose last neighbour went have no edge any more
-        alone = deg.select(F.col("src").alias("node")).join(gone.select("node"), "node", "left_anti")
-        new = shelf.put(left, f"core{i + 1}")
-        lost = shelf.put(alone.join(new.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("core")), f"lost{i}")
-        out = out.unionByName(lost)
-        shelf.drop(f"core{i}")
-        graph, i = new, i + 1
-    return out if out is not None else graph.select(F.col("src").alias("node"), F.lit(0).alias("core"))
-
-
 def pagerank(edges: DataFrame, shelf: Shelf, damping: float = 0.85, tol: float = 1e-6, most: int = 100) -> DataFrame:
     """(node, rank) of directed edges (src, dst, weight); ends when the ranks' total change is below n * tol."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -152,24 +128,6 @@ def shrink_effects(panel: DataFrame, persons: DataFrame, studios: DataFrame) ->
     return one.select("person", "effect", (r * F.col("effect") + (1 - r) * F.col("mu")).alias("shrunk"), "n")
 
 
-def spread_labels(edges: DataFrame, shelf: Shelf, rounds: int = 8) -> DataFrame:
-    """(node, community) by synchronous label propagation over weighted edges; ties go to the smaller label, a node keeps its own label at par."""
-    both = shelf.put(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "wboth")
-    cur = shelf.put(both.groupBy(F.col("src").alias("node")).agg(F.first("src").alias("community")), "com0")
-    for k in range(rounds):
-        votes = both.join(cur.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
-        own = cur.join(both.groupBy(F.col("src").alias("node")).agg(F.avg("weight").alias("weight")), "node").select("node", "community", "weight")
-        tally = votes.unionByName(own).groupBy("node", "community").agg(F.round(F.sum("weight"), 9).alias("v"))
-        new = tally.groupBy("node").agg(F.min(F.struct((-F.col("v")).alias("v"), "community")).alias("m")).select("node", F.col("m.community").alias("new"))
-        new = shelf.put(new.join(cur, "node").select("node", "new", (F.col("new") != F.col("community")).alias("moved")), f"com{k + 1}")
-        done = new.filter("moved").isEmpty()
-        cur = new.select("node", F.col("new").alias("community"))
-        shelf.drop(f"com{k}")
-        if done:
-            break
-    return cur
-
-
 def betweenness(edges: DataFrame, shelf: Shelf, sources: int | None = None) -> DataFrame:
     """(node, score): shortest-path betweenness of undirected, unweighted edges.
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import ANIMATORS, CORE_TEAM, DIRECTORS, in_list
+from ..operators import graphs
+from ..session import Shelf
 from .domain import Domain
 from .registry import Registry
 
@@ -54,19 +56,16 @@ def edges(d: Domain) -> DataFrame:
 
 def both_ways(e: DataFrame) -> DataFrame:
     """(u, v, shared, weight) in both directions."""
-    return e.select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))).alias("e"), "shared", "weight").select("e.*", "shared", "weight")
+    return graphs.both_directions(e, "shared", "weight")
 
 
-#: Analyses of a person's surroundings are on ties of at least this many shared works.
-TIES = 3
-
-
-def ties(d: Domain) -> DataFrame:
-    return edges(d).filter(F.col("shared") >= TIES)
+def ties(d: Domain, least: int = 1) -> DataFrame:
+    """The edges of at least so many shared works; all of them unless asked otherwise."""
+    return edges(d) if least <= 1 else edges(d).filter(F.col("shared") >= least)
 
 
 _BOTH = _EDGE + ", nb AS (SELECT src AS u, dst AS v, shared, weight FROM edge UNION ALL SELECT dst, src, shared, weight FROM edge)"
-_TIES = _EDGE + f", tie AS (SELECT * FROM edge WHERE shared >= {TIES}), nb AS (SELECT src AS u, dst AS v FROM tie UNION ALL SELECT dst, src FROM tie)"
+_TIES = _EDGE + ", tie AS MATERIALIZED (SELECT * FROM edge), nb AS MATERIALIZED (SELECT src AS u, dst AS v FROM tie UNION ALL SELECT dst, src FROM tie)"
 
 
 @R.query(_EDGE + " SELECT src, dst, shared, round(weight, 6) AS weight FROM edge")
@@ -107,36 +106,30 @@ def degree_centrality(d: Domain) -> DataFrame:
 
 @R.query(_TIES + ", n AS (SELECT count(DISTINCT u) AS n, count(*) // 2 AS e FROM nb), t AS (SELECT count(*) AS t FROM tie a JOIN tie b ON b.src = a.dst JOIN tie c ON c.src = a.src AND c.dst = b.dst), w AS (SELECT sum(k * (k - 1) // 2) AS w FROM (SELECT count(*) AS k FROM nb GROUP BY u)) SELECT CAST(n AS BIGINT) AS nodes, CAST(e AS BIGINT) AS edges, round(2.0 * e / (n * (n - 1)), 9) AS density, CAST(t AS BIGINT) AS triangles, round(3.0 * t / w, 6) AS transitivity FROM n, t, w")
 def graph_summary(d: Domain) -> DataFrame:
-    """Counts, density, triangles and transitivity; each triangle is found once, from its least node."""
-    e = ties(d).select("src", "dst")
-    deg = both_ways(e.withColumns({"shared": F.lit(0), "weight": F.lit(0.0)})).groupBy("u").agg(_n().alias("k"))
-    tot = deg.agg(_n().alias("n"), F.expr("sum(k) div 2").alias("e"), F.sum(F.expr("k * (k - 1) div 2")).alias("w"))
-    wedge = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst")
-    tri = wedge.select("src", F.col("far").alias("dst")).join(e, ["src", "dst"]).agg(_n().alias("t"))
+    """Counts, density, triangles and transitivity; each triangle is found once, from its node of least degree."""
+    ids, e = graphs.oriented(ties(d), Shelf(d.spark, "summary"))
+    tot = ids.agg(_n().alias("n"), F.expr("sum(k) div 2").alias("e"), F.sum(F.expr("k * (k - 1) div 2")).alias("w"))
+    tri = graphs.triangles(e).agg(_n().alias("t"))
     return tot.crossJoin(tri).select(F.col("n").alias("nodes"), F.col("e").alias("edges"), F.round(2.0 * F.col("e") / (F.col("n") * (F.col("n") - 1)), 9).alias("density"), F.col("t").alias("triangles"), F.round(3.0 * F.col("t") / F.col("w"), 6).alias("transitivity"))
 
 
 @R.query(_TIES + ", k AS (SELECT u, count(*) AS deg FROM nb GROUP BY u), c AS (SELECT a.u, a.v AS j, count(b.v) AS common, sum(CASE WHEN b.v IS NOT NULL THEN 1.0 / kb.deg END) AS s FROM nb a LEFT JOIN (nb x JOIN nb b ON b.u = x.v) ON x.u = a.u AND b.v = a.v LEFT JOIN k kb ON kb.u = x.v GROUP BY ALL) SELECT c.u AS person, round(sum(power(1.0 / k.deg + coalesce(s, 0) / k.deg, 2)), 6) AS constraint_, round(any_value(k.deg) - sum(common - 1.0) / any_value(k.deg), 6) AS effective_size FROM c JOIN k ON k.u = c.u GROUP BY c.u")
 def structural_holes(d: Domain) -> DataFrame:
     """Constraint and effective size from common neighbours, unweighted."""
-    b = both_ways(ties(d)).select("u", "v")
-    deg = b.groupBy("u").agg(_n().alias("deg"))
-    via = b.join(deg.withColumnsRenamed({"u": "v", "deg": "deg_via"}), "v").select("u", F.col("v").alias("via"), "deg_via")
-    two = via.join(b.select(F.col("u").alias("via"), F.col("v").alias("far")), "via").filter("u <> far").select("u", F.col("far").alias("v"), "deg_via").join(b, ["u", "v"], "left_semi")
-    common = two.groupBy("u", "v").agg(_n().alias("common"), F.sum(1.0 / F.col("deg_via")).alias("s"))
-    x = b.join(common, ["u", "v"], "left").fillna(0, ["common", "s"]).join(deg, "u")
+    ids, e = graphs.oriented(ties(d), Shelf(d.spark, "holes"))
+    x = e.join(graphs.edge_triangles(e), ["lo", "hi"], "left").fillna(0, ["common", "s"])
+    end = lambda a: F.struct(F.col(a).alias("i"), F.col(f"k_{a}").alias("deg"))
+    x = x.select(F.explode(F.array(end("lo"), end("hi"))).alias("e"), "common", "s").select("e.*", "common", "s")
     c = F.pow(1.0 / F.col("deg") + F.col("s") / F.col("deg"), F.lit(2.0))
-    return x.groupBy(F.col("u").alias("person")).agg(F.round(F.sum(c), 6).alias("constraint_"), F.round(F.max("deg") - F.sum(F.col("common") - 1.0) / F.max("deg"), 6).alias("effective_size"))
+    g = x.groupBy("i").agg(F.round(F.sum(c), 6).alias("constraint_"), F.round(F.max("deg") - F.sum(F.col("common") - 1.0) / F.max("deg"), 6).alias("effective_size"))
+    return g.join(ids.select("i", F.col("node").alias("person")), "i").select("person", "constraint_", "effective_size")
 
 
 @R.query(_TIES + ", r AS (SELECT u, v FROM nb UNION SELECT a.u, b.v FROM nb a JOIN nb b ON b.u = a.v WHERE a.u <> b.v), n AS (SELECT count(DISTINCT u) AS n FROM nb) SELECT u AS person, count(*) AS n_reached, round(count(*) / any_value(n.n), 4) AS reach FROM r CROSS JOIN n GROUP BY u")
 def reach(d: Domain) -> DataFrame:
     """Share of the network within two steps."""
-    b = both_ways(ties(d)).select("u", "v")
-    two = b.join(b.select(F.col("u").alias("v"), F.col("v").alias("far")), "v").filter("u <> far").select("u", F.col("far").alias("v"))
-    n = b.select("u").distinct().agg(_n().alias("n"))
-    x = b.unionByName(two).distinct().groupBy("u").agg(_n().alias("n_reached"))
-    return x.crossJoin(F.broadcast(n)).select(F.col("u").alias("person"), "n_reached", F.round(F.col("n_reached") / F.col("n"), 4).alias("reach"))
+    x = Shelf(d.spark, "reach").put(graphs.two_step_reach(ties(d), Shelf(d.spark, "bitmaps")), "reach")
+    return x.crossJoin(F.broadcast(x.agg(_n().alias("n")))).select(F.col("node").alias("person"), "n_reached", F.round(F.col("n_reached") / F.col("n"), 4).alias("reach"))
 
 
 @R.query(_TEAM + ", p AS (SELECT a.person AS src, b.person AS dst, count(*) AS n, min(k.year) AS y0, max(k.year) AS y1 FROM team a JOIN team b ON a.work = b.work AND a.person < b.person AND (a.core OR b.core) LEFT JOIN work k ON k.work = a.work GROUP BY ALL HAVING count(*) >= 2), m AS (SELECT max(n) AS m FROM p) SELECT src, dst, n AS shared_works, y0 AS first_year, y1 AS last_year, round(least(n / greatest(m, 1), 1.0) * 50 + least(coalesce(y1 - y0, 0) / 10.0, 1.0) * 30 + CASE WHEN y1 >= 2020 THEN 20 WHEN y1 >= 2015 THEN 10 ELSE 0 END, 6) AS strength FROM p CROSS JOIN m")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.textual import parse_episodes
+from ..operators.graphs import louvain
 from ..operators.iterative import components
 from ..session import Shelf
 from .career_queries import _MAIN, _YEAR, assignments, person_years
@@ -212,11 +213,9 @@ def resilience(d: Domain) -> DataFrame:
 @R.query()
 def community_spread(d: Domain) -> DataFrame:
     """Communities among a person's partners over their number."""
-    from ..operators.iterative import spread_labels
-
     shelf = Shelf(d.spark, "spread")
     e = shelf.put(ties(d), "ties")
-    com = shelf.put(spread_labels(e, shelf), "communities")
+    com = shelf.put(louvain(e, shelf), "communities")
     x = both_ways(e).join(com.select(F.col("node").alias("v"), "community"), "v")
     return x.groupBy(F.col("u").alias("person")).agg(_n().alias("degree"), F.round(F.countDistinct("community") / _n(), 6).alias("spread"))
 

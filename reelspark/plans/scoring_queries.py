@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import DIRECTORS, EPISODIC, THROUGH, in_list
+from ..operators import graphs as gr
 from ..operators import iterative as it
 from ..session import Shelf
 from .career_queries import assignments, dormancy
@@ -114,7 +115,7 @@ def integrated_values(d: Domain) -> DataFrame:
 
 @R.query()
 def core_numbers(d: Domain) -> DataFrame:
-    return it.k_core(ties(d), Shelf(d.spark, "core")).select(F.col("node").alias("person"), "core")
+    return gr.core_numbers(ties(d), Shelf(d.spark, "core")).select(F.col("node").alias("person"), "core")
 
 
 @R.query()
@@ -124,18 +125,33 @@ def network_components(d: Domain) -> DataFrame:
 
 @R.query()
 def communities(d: Domain) -> DataFrame:
-    return it.spread_labels(ties(d), Shelf(d.spark, "communities")).select(F.col("node").alias("person"), "community")
+    shelf = Shelf(d.spark, "communities")
+    return gr.louvain(shelf.put(ties(d), "ties"), shelf).select(F.col("node").alias("person"), "community")
+
+
+# Betweenness is exact up to so many nodes, from so many sampled sources beyond.
+EXACT_NODES, SAMPLED_SOURCES = 500, 200
 
 
 @R.query()
 def betweenness_sample(d: Domain) -> DataFrame:
-    """Betweenness from 32 sampled sources: the sample is the operator's feature."""
-    return it.betweenness(ties(d), Shelf(d.spark, "between"), 32).select(F.col("node").alias("person"), F.round("score", 9).alias("score"))
+    """Betweenness: exact up to ``EXACT_NODES``, beyond from ``SAMPLED_SOURCES``; the sample is the operator's feature."""
+    shelf = Shelf(d.spark, "between")
+    e = shelf.put(ties(d).select("src", "dst"), "ties")
+    n = e.select(F.explode(F.array("src", "dst"))).distinct().count()
+    return it.betweenness(e, shelf, None if n <= EXACT_NODES else SAMPLED_SOURCES).select(F.col("node").alias("person"), F.round("score", 9).alias("score"))
+
+
+@R.query()
+def eigenvector_centrality(d: Domain) -> DataFrame:
+    """Eigenvector scores of the largest component, by edge weights."""
+    shelf = Shelf(d.spark, "eigen")
+    return gr.eigenvector(shelf.put(ties(d).select("src", "dst", "weight"), "ties"), shelf).select(F.col("node").alias("person"), F.round("score", 6).alias("score"))
 
 
 @R.query()
 def authority(d: Domain) -> DataFrame:
-    """Weighted PageRank over strong ties in both directions."""
+    """Weighted PageRank over the ties in both directions."""
     e = ties(d)
     both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     return it.pagerank(both, Shelf(d.spark, "pagerank")).select(F.col("node").alias("person"), F.round("rank", 9).alias("rank"))
@@ -146,7 +162,7 @@ def bridges(d: Domain) -> DataFrame:
     """Ties between communities per person: communities reached and score."""
     shelf = Shelf(d.spark, "bridges")
     e = shelf.put(ties(d), "ties")
-    com = shelf.put(it.spread_labels(e, shelf), "communities")
+    com = shelf.put(gr.louvain(e, shelf), "communities")
     size = com.groupBy("community").agg(_n().alias("size"))
     c = com.join(size, "community")
     x = e.join(c.select(F.col("node").alias("src"), F.col("community").alias("ca"), F.col("size").alias("sa")), "src").join(c.select(F.col("node").alias("dst"), F.col("community").alias("cb"), F.col("size").alias("sb")), "dst").filter("ca <> cb")

@@ -8,6 +8,7 @@ from collections import deque
 import numpy as np
 import pytest
 
+from reelspark.operators import graphs as gr
 from reelspark.operators import iterative as it
 from reelspark.operators.skew import lookup_join
 from reelspark.session import Shelf
@@ -54,7 +55,7 @@ def test_k_core(spark, graph):
         want[low] = k
         for y in nb.pop(low):
             nb[y].discard(low)
-    assert {r.node: r.core for r in it.k_core(frame(spark, graph), Shelf(spark, "t")).collect()} == want
+    assert {r.node: r.core for r in gr.core_numbers(frame(spark, graph), Shelf(spark, "t")).collect()} == want
 
 
 def test_pagerank(spark, graph):
@@ -134,10 +135,80 @@ def test_betweenness(spark, graph):
 
 def test_communities_split_two_cliques(spark):
     edges = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0")]
-    got = {r.node: r.community for r in it.spread_labels(frame(spark, edges), Shelf(spark, "t"), 20).collect()}
+    got = {r.node: r.community for r in gr.louvain(frame(spark, edges), Shelf(spark, "t")).collect()}
     assert len({got[f"a{i}"] for i in range(5)}) == 1 and got["a1"] != got["b1"]
 
 
+def plain_modularity(edges, com):
+    deg, m = {}, len(edges)
+    for a, b in edges:
+        deg[a], deg[b] = deg.get(a, 0) + 1, deg.get(b, 0) + 1
+    tot = {}
+    for x, k in deg.items():
+        tot[com[x]] = tot.get(com[x], 0) + k
+    return sum(com[a] == com[b] for a, b in edges) / m - sum(t * t for t in tot.values()) / (4 * m * m)
+
+
+def test_louvain_finds_planted_groups(spark):
+    rng = random.Random(8)
+    nodes = [(c, f"{c}{i}") for c in "abcd" for i in range(8)]
+    edges = [(x, y) for i, (c, x) in enumerate(nodes) for e, y in nodes[i + 1 :] if rng.random() < (0.8 if c == e else 0.04)]
+    com = {r.node: r.community for r in gr.louvain(frame(spark, edges), Shelf(spark, "t")).collect()}
+    assert all(com[x] == f"{c}0" for c, x in nodes)
+    df = spark.createDataFrame([(k, v) for k, v in com.items()], "node string, community string")
+    assert abs(gr.modularity(frame(spark, edges), df) - plain_modularity(edges, com)) < 1e-12
+
+
+def test_triangles_and_reach(spark, graph):
+    nb = neighbours(graph)
+    edges = frame(spark, graph)
+    ids, e = gr.oriented(edges, Shelf(spark, "t"))
+    name = {r.i: r.node for r in ids.collect()}
+    assert sorted(name) == list(range(len(nb)))
+    got = {(min(name[r.lo], name[r.hi]), max(name[r.lo], name[r.hi])): (r.common, r.s) for r in gr.edge_triangles(e).collect()}
+    want = {(a, b): nb[a] & nb[b] for a, b in graph if nb[a] & nb[b]}
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(abs(got[k][1] - sum(1 / len(nb[x]) for x in v)) < 1e-12 for k, v in want.items())
+    reach = {r.node: r.n_reached for r in gr.two_step_reach(edges, Shelf(spark, "t")).collect()}
+    assert reach == {a: len((nb[a] | {c for b in nb[a] for c in nb[b]}) - {a}) for a in nb}
+
+
+def test_eigenvector(spark, graph):
+    edges = graph + [("n00", "n01"), ("n01", "n02"), ("n00", "n02"), ("z1", "z2")]
+    edges = sorted({tuple(sorted(e)) for e in edges})
+    got = {r.node: r.score for r in gr.eigenvector(frame(spark, edges), Shelf(spark, "t"), 1e-10).collect()}
+    nodes = sorted(got)
+    ix = {x: i for i, x in enumerate(nodes)}
+    m = np.zeros((len(nodes), len(nodes)))
+    for a, b in edges:
+        if a in ix and b in ix:
+            m[ix[a], ix[b]] = m[ix[b], ix[a]] = 1
+    v = np.abs(np.linalg.eigh(m)[1][:, -1])
+    assert "z1" not in got and all(abs(got[x] - v[ix[x]]) < 1e-6 for x in nodes)
+
+
+def test_shortest_paths(spark, graph):
+    nb = neighbours(graph)
+    nodes = sorted(nb)
+    asked = [(a, b) for a in nodes[:4] for b in nodes]
+    got = {(r.source, r.target): (r.hops, r.paths, tuple(r.path)) for r in gr.shortest_paths(frame(spark, graph), spark.createDataFrame(asked, "source string, target string"), Shelf(spark, "t"), 30).collect()}
+    want = {}
+    for s in nodes[:4]:
+        level = {s: (1, (s,))}
+        seen, k = set(), 0
+        while level:
+            for x, (n, p) in level.items():
+                want[s, x] = (k, n, p)
+            seen |= set(level)
+            nxt, k = {}, k + 1
+            for x, (n, p) in level.items():
+                for y in nb[x] - seen:
+                    m, q = nxt.get(y, (0, None))
+                    nxt[y] = (m + n, p + (y,) if q is None else min(q, p + (y,)))
+            level = nxt
+    assert got == want
+
+
 def test_value_weights(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=40)
