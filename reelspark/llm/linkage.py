@@ -6,11 +6,13 @@ Method: collective graph linkage.
    visual form without decoration, the season number and the film mark read
    from them, year, date and episode count where they are possible values.
    Rows with equal profiles are one node, so copies cost nothing.
-2. Candidate graph.  An accepted pair has one title of score ``TITLE`` or more,
-   or starts on the same day.  All pairs of titles within the edits that score
-   allows are found by Pass-Join: the longer title is cut into one part more
-   than edits, one of which must stand in the shorter.  Titles shortened by one
-   gap are found by the rarest grams of the shorter.  Equal full dates meet too.
+2. Candidate graph.  An accepted pair has one title of score ``TITLE`` or more.
+   All pairs of titles within the edits that score allows are found by Pass-Join:
+   the longer title is cut into one part more than edits, one of which must stand
+   in the shorter.  Titles shortened by one gap keep half of the shorter one at
+   the start or the end of the longer.
+   Season, kind and year (or the full date) are part of each key, so titles of
+   other years never meet, and no key is a date alone.
 3. Weaker pairs, which only propagation can raise, are taken from the rarest
    q-grams up to ``OVERLAP`` of a channel's weight; of these an edge below
    ``KEEP`` of the best edge of both its nodes goes (meta-blocking).  Edges
@@ -49,12 +51,10 @@ from .visual import _EXTRA, lookalikes, visual_form
 Q_JA, Q_EN = 3, 8
 OVERLAP = 0.5
 KEEP = 0.25
-#: Least score of one title of an accepted pair, unless both start on the same day: ``ACCEPT`` less all that year, month and episodes can add.
-TITLE = 0.65
-#: Length of the grams that find shortened titles.
-GAP = 3
-#: Longer titles are met by grams instead of parts, of which they would have too many.
-LONG = 128
+#: Least score of one title of an accepted pair, so at most a seventh of it is edited: below it lie titles that only look alike.
+TITLE = 0.73
+#: Longer titles are met by grams of GAP letters instead of parts, of which they would have too many.
+LONG, GAP = 128, 3
 #: Titles cut at once, for the worker's memory.
 PIECE = 200
 ACCEPT = 0.77
@@ -139,9 +139,28 @@ def _grams(c: str, q: int) -> Column:
     return F.when(F.length(c) > 0, F.array_distinct(grams))
 
 
+def contexts(wide: bool) -> Column:
+    """What a pair must agree in, as tokens: season, kind and year (one apart at most, or unknown), or the full date.
+
+    One side of a join takes the wide tokens, the other the narrow ones; a pair shares exactly one
+    token of years if it agrees, and one of dates if both start on the same day.
+    """
+    token = lambda *c: F.xxhash64("season", "film", *c)
+    around = [token(F.col("year") + i) for i in (-1, 0, 1)]
+    if wide:
+        years = F.when(F.col("year").isNull(), F.array(token(F.lit("of none")), token(F.lit("any")))).otherwise(F.array(*around, token(F.lit("any"))))
+    else:
+        years = F.when(F.col("year").isNull(), F.array(token(F.lit("any")))).otherwise(F.array(around[1], token(F.lit("of none"))))
+    return years
+
+
+def _day() -> Column:
+    return F.when(F.length("date") == 10, F.xxhash64(F.lit("day"), "date"))
+
+
 def rare_attributes(nodes: DataFrame, shelf: Shelf) -> DataFrame:
-    """(node, side, season, film, year, attr, w): each node's rarest attributes, per channel."""
-    parts = F.array(F.struct(F.lit("j").alias("ch"), _grams("ja", Q_JA).alias("items")), F.struct(F.lit("e").alias("ch"), _grams("en", Q_EN).alias("items")), F.struct(F.lit("d").alias("ch"), F.when(F.length("date") == 10, F.array("date")).alias("items")))
+    """(node, attr, w): each node's rarest attributes, per channel."""
+    parts = F.array(F.struct(F.lit("j").alias("ch"), _grams("ja", Q_JA).alias("items")), F.struct(F.lit("e").alias("ch"), _grams("en", Q_EN).alias("items")))
     long = nodes.select("node", F.explode(parts).alias("p")).select("node", "p.ch", F.explode("p.items").alias("item")).select("node", "ch", F.xxhash64("ch", "item").alias("attr"))
     long = shelf.put(long, "attrs")
     n = F.lit(float(max(2, nodes.count())))
@@ -173,26 +192,30 @@ def _key(m: int, i: int, part: str) -> int:
     return zlib.crc32(part.encode()) << 24 | (m & 0xFFFF) << 8 | i & 0xFF
 
 
-def segment_keys(text: str) -> tuple[list[int], list[int]]:
-    """(keys as the longer text, keys as the shorter): texts within ``most_edits`` of the longer's length share one.
+@lru_cache(maxsize=4096)
+def _places(n: int) -> list[tuple[int, int, int, int]]:
+    """(m, part, position, length) at which parts of texts of length ``m`` may stand in a shorter one of length ``n``.
 
     A part is looked for only where it can lie if no earlier and no later part is whole (multi-match-aware
     positions of Pass-Join): at most i to either side from the left, and as many as parts follow from the right.
     """
-    n = len(text)
-    if n > LONG:
-        return [], []
-    own = [_key(n, i, text[p : p + k]) for i, (p, k) in enumerate(_segments(n))]
-    found: set[int] = set()
-    m = n
+    out, m = [], n
     while m <= LONG and m - n <= most_edits(m):
         most, gap = most_edits(m), n - m
         for i, (p, k) in enumerate(_segments(m)):
             left, right = i, most - i
-            for at in range(max(0, p - left, p + gap - right), min(n - k, p + left, p + gap + right) + 1):
-                found.add(_key(m, i, text[at : at + k]))
+            out += [(m, i, at, k) for at in range(max(0, p - left, p + gap - right), min(n - k, p + left, p + gap + right) + 1)]
         m += 1
-    return own, list(found)
+    return out
+
+
+def segment_keys(text: str) -> tuple[list[int], list[int]]:
+    """(keys as the longer text, keys as the shorter): texts within ``most_edits`` of the longer's length share one."""
+    n = len(text)
+    if n > LONG:
+        return [], []
+    own = [_key(n, i, text[p : p + k]) for i, (p, k) in enumerate(_segments(n))]
+    return own, list({_key(m, i, text[at : at + k]) for m, i, at, k in _places(n)})
 
 
 def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,43 +223,47 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(b), PIECE):
             part = b.iloc[at : at + PIECE]
             keys = [segment_keys(t) for t in part["text"]]
-            yield pd.DataFrame({"side": part["side"], "text": part["text"], "long": [k[0] for k in keys], "short": [k[1] for k in keys]})
+            yield pd.DataFrame({"id": part["id"], "side": part["side"], "long": [k[0] for k in keys], "short": [k[1] for k in keys]})
 
 
 def similar_titles(nodes: DataFrame, c: str, shelf: Shelf) -> DataFrame:
-    """(c_a, c_r): all pairs of distinct titles of the two sides, of works that agree in season, kind and year, that
-    ``_title_score`` gives ``TITLE`` or more, if one differs from the other by edits or by one gap.
+    """(c_a, c_r): all pairs of distinct titles of the two sides, of works that agree in season, kind and year (or start on
+    the same day), that ``_title_score`` gives ``TITLE`` or more, if one differs from the other by edits or by one gap.
     """
-    named = nodes.filter(F.length(c) > 0).select("node", "side", "season", "film", "year", F.col(c).alias("text"))
-    # as titles, with what must agree: pairs that only start on the same day meet by their date
-    kind = ["season", "film", "year"]
-    texts = shelf.put(named.select("side", "text", *kind).distinct(), f"texts_{c}")
-    cut = texts.select("side", "text").distinct().repartition(12).mapInPandas(_segment_rows, "side string, text string, long array<long>, short array<long>")
-    keyed = shelf.put(cut, f"keys_{c}").join(texts, ["side", "text"])
-
-    def pick(x: DataFrame, s: str, key: Column) -> DataFrame:
-        return x.filter(F.col("side") == s).select(key.alias("key"), "season", "film", F.col("year").alias(f"year_{s}"), F.col("text").alias(f"{c}_{s}"))
-
-    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        met = x.join(y, ["key", "season", "film"]).filter(F.coalesce(F.abs(F.col("year_a") - F.col("year_r")) <= 1, F.lit(True)))
-        return met.select(f"{c}_a", f"{c}_r")
-
-    long, short = F.explode("long"), F.explode("short")
-    near = meet(pick(keyed, "a", long), pick(keyed, "r", short)).unionByName(meet(pick(keyed, "a", short), pick(keyed, "r", long)))
-    # shortened titles: one gap spoils less than GAP grams of the shorter text, so one of its GAP rarest is in the longer
-    grams = shelf.put(texts.select("side", "text").distinct().withColumn("text_", F.col("text")).select("side", "text", F.explode(F.array_union(_grams("text_", GAP), _grams("text_", 2))).alias("gram")), f"grams_{c}")
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("side", "text").orderBy("df", "gram"))
-    fit = (F.length("gram") == 2) == (F.length("text") < GAP + 2)  # a gap may spoil all longer grams of a short text
-    # longer texts than LONG, and those as long as their edits allow: each edit spoils GAP grams, so one of the rarest is left
-    size = F.length("text")
-    most = F.when(size > LONG * TITLE / 0.85 - 1, GAP * F.ceil(size * (0.85 / TITLE - 1)) + 1).otherwise(GAP)
-    rare = grams.filter(fit).join(df, "gram").withColumn("k", rank).filter(F.col("k") <= most)
-    rare, grams = (x.join(texts, ["side", "text"]) for x in (rare, grams))
-    gram = F.col("gram")
-    for x, y in ((rare, grams), (grams, rare)):
-        near = near.unionByName(meet(pick(x, "a", gram), pick(y, "r", gram)))
-    return near.distinct().filter(_title_score(c)[0] >= TITLE)
+    named = nodes.filter(F.length(c) > 0).select("side", "season", "film", "year", "date", F.col(c).alias("text"), F.xxhash64("side", c).alias("id"))
+    texts = shelf.put(named.select("id", "side", "text").distinct(), f"texts_{c}")
+    # tokens of each text: a key and a token are one long, so a pair meets only where both agree
+    marks = lambda wide: F.array_distinct(F.concat(F.flatten(F.collect_set(contexts(wide))), F.collect_set(_day())))
+    tokens = shelf.put(named.groupBy("id").agg(marks(True).alias("wide"), marks(False).alias("narrow")), f"tokens_{c}")
+
+    def meet(keys: DataFrame) -> DataFrame:
+        """(id_a, id_r) of the rows (id, side, few, many) of which one's few keys meet the other's many."""
+        keys = keys.join(tokens, "id")
+        side = F.col("side")
+        x = keys.select("id", "side", F.explode("few").alias("k"), "wide").select("id", "side", "k", F.explode("wide").alias("t")).select(F.xxhash64("k", "t", side).alias("key"), "id", "side")
+        y = keys.select("id", "side", F.explode("many").alias("k"), "narrow").select("id", "side", "k", F.explode("narrow").alias("t")).select(F.xxhash64("k", "t", F.when(side == "a", "r").otherwise("a")).alias("key"), F.col("id").alias("id2"))
+        return x.join(y, "key").select(F.when(side == "a", F.col("id")).otherwise(F.col("id2")).alias("id_a"), F.when(side == "a", F.col("id2")).otherwise(F.col("id")).alias("id_r"))
+
+    cut = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism).mapInPandas(_segment_rows, "id long, side string, long array<long>, short array<long>")
+    near = meet(shelf.put(cut.select("id", "side", F.col("long").alias("few"), F.col("short").alias("many")), f"parts_{c}"))
+    # a text shortened by one gap keeps its first half at the start or its second half at the end of the longer one
+    n = F.length("text")
+    head, tail = lambda k: F.xxhash64(F.lit("head"), F.substring("text", F.lit(1), k)), lambda k: F.xxhash64(F.lit("tail"), F.substring(F.col("text"), -k, k))
+    half = F.floor((n + 1) / 2).cast("int")
+    lengths = F.sequence(F.lit(2), n)
+    gaps = texts.filter(n >= 3).select("id", "side", F.array(head(half), tail(n - half + 1)).alias("few"), F.concat(F.transform(lengths, head), F.transform(lengths, tail)).alias("many"))
+    near = near.unionByName(meet(gaps))
+    # beyond LONG and as far below as its edits reach: each edit spoils GAP grams, so one of the rarest is left
+    long = texts.filter(n > LONG * TITLE / 0.85 - 1)
+    grams = shelf.put(long.withColumn("text_", F.col("text")).select("id", "side", "text", F.explode(_grams("text_", GAP)).alias("gram")), f"grams_{c}")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
+    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("rare", place <= GAP * F.ceil(n * (0.85 / TITLE - 1)) + 1)
+    gram = F.xxhash64("gram")
+    near = near.unionByName(meet(ranked.groupBy("id", "side").agg(F.collect_list(F.when(F.col("rare"), gram)).alias("few"), F.collect_list(gram).alias("many"))))
+    met = near.distinct()
+    for x in "ar":
+        met = met.join(texts.filter(F.col("side") == x).select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"{c}_{x}")), f"id_{x}")
+    return met.select(f"{c}_a", f"{c}_r").filter(_title_score(c)[0] >= TITLE)
 
 
 def _fits() -> Column:
@@ -251,12 +278,18 @@ def _side(x: DataFrame, s: str, *more: str) -> DataFrame:
 def candidate_edges(nodes: DataFrame, shelf: Shelf) -> DataFrame:
     """(a, r) between the sides: those of similar titles, and those of shared rare attributes as left by meta-blocking."""
     rare = shelf.put(rare_attributes(nodes, shelf).join(nodes.select("node", "side", "season", "film", "year", "date"), "node"), "rare")
-    edges = shelf.put(_side(rare, "a", "attr", "w").join(_side(rare, "r", "attr"), "attr").filter(_fits()).groupBy("a", "r").agg(F.sum("w").alias("weight")), "edges")
+
+    def keyed(s: str, marks: Column, *more: str) -> DataFrame:
+        return rare.filter(F.col("side") == s).select(F.col("node").alias(s), "attr", F.explode(marks).alias("t"), *more).filter(F.col("t").isNotNull()).select(s, F.xxhash64("attr", "t").alias("key"), *more)
+
+    # a pair that agrees in years and starts on the same day meets twice: the greater sum is that of all it shares
+    weighted = lambda x, y: x.join(y, "key").groupBy("a", "r").agg(F.sum("w").alias("weight"))
+    years = weighted(keyed("a", contexts(True), "w"), keyed("r", contexts(False)))
+    days = weighted(keyed("a", F.array(_day()), "w"), keyed("r", F.array(_day())))
+    edges = shelf.put(years.unionByName(days).groupBy("a", "r").agg(F.max("weight").alias("weight")), "edges")
     best_a = edges.groupBy("a").agg(F.max("weight").alias("best_a"))
     best_r = edges.groupBy("r").agg(F.max("weight").alias("best_r"))
     out = edges.join(best_a, "a").join(best_r, "r").filter(F.col("weight") >= F.lit(KEEP) * F.least("best_a", "best_r")).select("a", "r")
-    day = _side(nodes, "a").join(_side(nodes, "r"), F.col("date_a") == F.col("date_r")).select("a", "r")
-    out = out.unionByName(day)
     for c in ("ja", "en"):
         titles = shelf.put(similar_titles(nodes, c, shelf), f"titles_{c}")
         met = titles.join(_side(nodes, "a", F.col(c).alias(f"{c}_a")), f"{c}_a").join(_side(nodes, "r", F.col(c).alias(f"{c}_r")), f"{c}_r")
@@ -292,11 +325,15 @@ def similarity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     other = F.when((F.col("season_a") != F.col("season_r")) | (F.col("film_a") != F.col("film_r")), -0.15).otherwise(0.0)
     off = F.abs(F.col("episodes_a") - F.col("episodes_r"))
     eps = F.when(off == 0, 0.03).when(off <= 2, 0.0).when(off > 2, -0.08).otherwise(0.0)
-    return edges.withColumn("s", title + year + date + other + F.coalesce(eps, F.lit(0.0))).select("a", "r", "s")
+    edges = edges.withColumn("s", title + year + date + other + F.coalesce(eps, F.lit(0.0)))
+    return edges.filter(F.greatest(ja, en) >= TITLE).select("a", "r", "s")
+
 
+def propagate(edges: DataFrame, nodes: DataFrame, shelf: Shelf) -> DataFrame:
+    """``edges`` (a, r, s0) with ``s`` after propagation among neighbours.
 
-def propagate(edges: DataFrame, nodes: DataFrame, shelf: Shelf, most: int = 10) -> DataFrame:
-    """``edges`` (a, r, s0) with ``s`` after propagation among neighbours."""
+    A round moves nothing by more than ``PULL`` times what the last one moved, so it ends.
+    """
     families = None
     for c in ("ja", "en"):
         f = nodes.filter(F.length(c) >= 3).select("node", F.xxhash64(F.lit(c), "side", c, "season", "film").alias("family"))
@@ -304,7 +341,8 @@ def propagate(edges: DataFrame, nodes: DataFrame, shelf: Shelf, most: int = 10)
     several = families.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("family")
     families = shelf.put(families.join(several, "family", "left_semi"), "families")
     cur = shelf.put(edges.withColumnRenamed("s", "s0").withColumn("s", F.col("s0")).select("a", "r", "s0", "s"), "prop0")
-    for k in range(most):
+    k = 0
+    while True:
         # a family's similarity to a counterpart: mean over its members; a member takes the best of its families
         fa = families.select(F.col("node").alias("a"), "family")
         fr = families.select(F.col("node").alias("r"), "family")
@@ -320,9 +358,9 @@ def propagate(edges: DataFrame, nodes: DataFrame, shelf: Shelf, most: int = 10)
         moved = new.agg(F.max("moved")).first()[0]
         cur = new.select("a", "r", "s0", F.col("t").alias("s"))
         shelf.drop(f"prop{k}")
+        k += 1
         if moved is None or moved < STABLE:
-            break
-    return cur
+            return cur
 
 
 def link_records(works: DataFrame, raw: DataFrame, works_key: str, raw_key: str) -> DataFrame:
