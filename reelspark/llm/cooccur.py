@@ -17,8 +17,8 @@ The prefix join is cut into blocks of ``BIG`` items.
 Null.  Bipartite configuration model: item i is in basket j with probability
 x_i y_j / (1 + x_i y_j), with x and y fitted so that every item's frequency and
 every basket's size are met in expectation.  Equal degrees have equal values,
-so the fit is on the distinct degrees (at most about the square root of twice
-the rows).  Under it the shared count of two items is Poisson-binomial; the
+so the fit is on the distinct degrees, once a stratum; above ``EXACT`` degrees
+within ``WIDTH`` of each other are one class.  Under it the shared count of two items is Poisson-binomial; the
 tail P(X >= c) is computed exactly over the classes of equal basket size, by
 convolution of binomials, once per distinct (n_a, n_b, c).  q-values are
 Benjamini-Hochberg's over all pairs of items of the stratum.  The pairs below
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
@@ -45,6 +45,8 @@ RATIO = 4.0
 BIG = 1000
 #: Groups over which the tails of one stratum are spread.
 SPREAD = 16
+#: Degrees up to EXACT are fitted as they are, greater ones in classes of this relative width.
+EXACT, WIDTH = 512, 0.01
 
 
 def incidence(rows: DataFrame, stratum: str, basket: str, item: str) -> DataFrame:
@@ -99,8 +101,8 @@ def _pairs_with_big(live: DataFrame, full: DataFrame, shelf: Shelf, min_count: i
     return out.filter(F.col("c") >= min_count).select("s", "a", "b", "c")
 
 
-def fit_null(item: np.ndarray, items: np.ndarray, basket: np.ndarray, baskets: np.ndarray, steps: int = 2000, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Fitnesses of item and basket classes: degrees ``item``/``basket`` with multiplicities ``items``/``baskets``."""
+def fit_null(item: np.ndarray, items: np.ndarray, basket: np.ndarray, baskets: np.ndarray, steps: int = 20_000, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Fitnesses of item and basket classes: degrees ``item``/``basket`` with multiplicities ``items``/``baskets``; raises if they don't settle."""
     edges = float((item * items).sum())
     x, y = item / np.sqrt(edges), basket / np.sqrt(edges)
     for _ in range(steps):
@@ -110,11 +112,41 @@ def fit_null(item: np.ndarray, items: np.ndarray, basket: np.ndarray, baskets: n
         ny = basket / ((nx * items)[:, None] / (1 + xy)).sum(0)
         moved = max(np.max(np.abs(nx / x - 1)), np.max(np.abs(ny / y - 1)))
         x, y = nx, ny
-        if moved < eps or not np.isfinite(moved):
+        if moved < eps:
+            return x, y
+        if not np.isfinite(moved) or max(x.max(), y.max()) > 1e12:
             break
+    # a class that meets every one of the other side has no finite fitness: its expected degree must still be right
+    xy = np.outer(x, y)
+    off = np.abs((xy / (1 + xy) * baskets).sum(1) / item - 1).max()
+    if not np.isfinite(off) or off > 1e-3:
+        raise RuntimeError(f"the null of the pair counts did not settle (degrees off by {off})")
     return x, y
 
 
+def degree_class(c: str) -> Column:
+    """Least degree of the class of ``c``: degrees up to ``EXACT`` are classes of their own, above they are WIDTH wide."""
+    step = F.floor(F.log(F.col(c) / F.lit(EXACT)) / F.lit(np.log1p(WIDTH)) + 1e-9)
+    return F.when(F.col(c) <= EXACT, F.col(c).cast("long")).otherwise(F.ceil(F.lit(EXACT) * F.pow(F.lit(1 + WIDTH), step) + 1e-6).cast("long"))
+
+
+def fitted_classes(classes: DataFrame) -> DataFrame:
+    """(s, side, at, degree, count, fit): the null, fitted once a stratum.
+
+    A stratum has at most EXACT + ln(greatest degree / EXACT) / WIDTH classes a side (about 2000 at a billion
+    rows); a class stands for its mean degree, so a degree is off by less than WIDTH.
+    """
+    binned = classes.withColumn("at", degree_class("degree")).groupBy("s", "side", "at").agg(F.sum("count").alias("count"), (F.sum(F.col("degree") * F.col("count")) / F.sum("count")).alias("degree"))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        i, b = g[g.side == "item"], g[g.side == "basket"]
+        x, y = fit_null(i.degree.to_numpy(float), i["count"].to_numpy(float), b.degree.to_numpy(float), b["count"].to_numpy(float))
+        out = pd.concat([i.assign(fit=x), b.assign(fit=y)])
+        return out[["s", "side", "at", "degree", "count", "fit"]]
+
+    return binned.groupBy("s").applyInPandas(fit, "s string, side string, at long, degree double, count long, fit double")
+
+
 def tail(q: np.ndarray, m: np.ndarray, c: np.ndarray) -> np.ndarray:
     """P(X >= c) per row; X sums Binomial(m_k, q[row, k]) over the classes k."""
     mean = (q * m).sum(1)
@@ -145,22 +177,22 @@ def surprise(pairs: DataFrame, classes: DataFrame, shelf: Shelf) -> DataFrame:
     """``pairs`` with expected (null mean), p_value and q_value."""
     combos = shelf.put(pairs.groupBy("s", F.least("n_a", "n_b").alias("lo"), F.greatest("n_a", "n_b").alias("hi"), "c").agg(F.count("*").alias("pairs")), "combos")
     part = F.pmod(F.xxhash64("lo", "hi"), F.lit(SPREAD)).alias("part")
-    spread = classes.withColumn("part", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SPREAD)])))
+    combos = combos.withColumns({"lo_at": degree_class("lo"), "hi_at": degree_class("hi")})
+    spread = shelf.put(fitted_classes(classes), "null").withColumn("part", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SPREAD)])))
 
     def rate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["s", "lo", "hi", "c", "pairs", "expected", "p_value", "tests"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=cols)
-        i, b = right[right.side == "item"].sort_values("degree"), right[right.side == "basket"].sort_values("degree")
-        deg = i.degree.to_numpy(float)
-        x, y = fit_null(deg, i["count"].to_numpy(float), b.degree.to_numpy(float), b["count"].to_numpy(float))
+        i, b = right[right.side == "item"].sort_values("at"), right[right.side == "basket"]
+        at, x, y = i["at"].to_numpy(), i.fit.to_numpy(), b.fit.to_numpy()
         m = b["count"].to_numpy()
         n = float(i["count"].sum())
-        out = left[["s", "lo", "hi", "c", "pairs"]].sort_values("c").reset_index(drop=True)
+        out = left[["s", "lo", "hi", "lo_at", "hi_at", "c", "pairs"]].sort_values("c").reset_index(drop=True)
         mean, p = np.empty(len(out)), np.empty(len(out))
         for s in range(0, len(out), 2000):
             r = out.iloc[s : s + 2000]
-            qa, qb = (np.outer(x[np.searchsorted(deg, r[k].to_numpy(float))], y) for k in ("lo", "hi"))
+            qa, qb = (np.outer(x[np.searchsorted(at, r[k].to_numpy())], y) for k in ("lo_at", "hi_at"))
             q = qa / (1 + qa) * qb / (1 + qb)
             mean[s : s + 2000], p[s : s + 2000] = (q * m).sum(1), tail(q, m, r.c.to_numpy())
         out["expected"], out["p_value"], out["tests"] = mean, p, n * (n - 1) / 2

@@ -15,7 +15,8 @@ are drawn evenly, then by hash).  Buckets grow with the rows, not in size.
 Defined results: labels are compared trimmed, in lower case, ``-`` read as
 ``_``; null labels and unlisted sources are left out; a null or empty text has
 0 tokens and is drawn like any other; a listed source without documents has
-share 0; a null target share or cap counts as 0.
+share 0; a null target share or cap counts as 0.  What a source with too few
+documents can't give is reported as its shortfall; the others keep their sizes.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def systematic_copies(sized: DataFrame, plan: DataFrame, seed: int = 17) -> Data
 
 def sized_documents(docs: DataFrame, targets: DataFrame, shelf: Shelf) -> DataFrame:
     """doc_id, source, n_tokens of the documents of listed sources, encoded once."""
-    listed = F.broadcast(targets.select(clean_label("source").alias("source")).distinct().limit(100_000))  # the list of sources is a parameter table
+    listed = targets.select(clean_label("source").alias("source")).distinct()
     rows = docs.select("doc_id", clean_label("source").alias("source"), "text").join(listed, "source", "left_semi")
     return shelf.put(encode_documents(rows, ["doc_id", "source"], counts_only=True), "sized")
 
@@ -79,11 +80,11 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
 
 
 def mix_shares(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> DataFrame:
-    """Per listed source: target and actual share, documents, tokens and the most copies of a document."""
+    """Per listed source: target and actual share, documents, tokens, the most copies of a document, and the tokens its cap keeps it short of the target."""
     shelf = Shelf(docs.sparkSession, "mix")
     sized = sized_documents(docs, targets, shelf)
     plan = plan_mix(sized, targets, total)
     got = systematic_copies(sized, plan, seed).groupBy("source").agg(F.count("*").alias("docs_used"), F.sum("copies").alias("rows"), F.sum(F.col("copies") * F.col("n_tokens").cast("long")).alias("tokens"), F.max("copies").alias("most_copies"))
     out = plan.join(got, "source", "left").fillna(0, ["docs_used", "rows", "tokens", "most_copies"])
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return out.select("source", "target_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("actual_share"), "max_repeats", "most_copies", "n_docs", "docs_used", "rows", "tokens", "available")
+    return out.select("source", "target_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("actual_share"), "max_repeats", "most_copies", "n_docs", "docs_used", "rows", "tokens", "available", F.greatest(F.lit(0), F.round(F.col("wanted")).cast("long") - F.col("tokens")).alias("shortfall"))

@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import Shelf
 
 MIN_LEN = 200
@@ -205,9 +206,11 @@ _TEXT = "part long, off int, text string"
 
 
 def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose ``key`` occurs in two different texts."""
-    twice = rows.groupBy(*key).agg(F.min("part").alias("a"), F.max("part").alias("b")).filter(F.col("a") != F.col("b")).select(*key)
-    return rows.join(twice, key, "left_semi")
+    """The stored rows whose ``key`` occurs in two different texts; the rows of a common key stay where they are."""
+    one = F.col(key[0]) if len(key) == 1 else F.struct(*key)
+    rows = rows.withColumn("window", one)
+    twice = rows.groupBy("window").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).filter(F.col("a") != F.col("b")).select("window", "n")
+    return lookup_join(rows, rows.count(), twice, "window", "n").drop("window")
 
 
 def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, first: int = FIRST) -> DataFrame:
@@ -216,8 +219,9 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= min_len)
     # a text's class is the least id of its copies; the 128-bit digest stands for the text
     classes = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("n_chars"))
-    kept = classes.groupBy("digest", "n_chars").agg(F.min("doc_id").alias("part"), F.count("*").alias("copies"))
-    members = shelf.put(classes.join(kept, ["digest", "n_chars"]).select("doc_id", "part", "copies", "n_chars"), "members")
+    classes = shelf.put(classes.select("doc_id", "n_chars", F.struct("digest", "n_chars").alias("same")), "classes")
+    kept = classes.groupBy("same").agg(F.min("doc_id").alias("part"), F.count("*").alias("copies")).withColumn("n", F.col("copies"))
+    members = shelf.put(lookup_join(classes, classes.count(), kept, "same", "n").select("doc_id", "part", "copies", "n_chars"), "members")
     copied = members.filter(F.col("copies") > 1)
     extra = copied.filter(F.col("doc_id") != F.col("part")).select("doc_id", "part")
 

@@ -6,7 +6,7 @@ composed form, whitespace mapped to single inner blanks, full case folding
 where asked for, vectorised over the distinct values.  After it, look-alike
 characters of any script are mapped to one of their kind by the Unicode
 confusables table, which comes from the ICU library that Spark itself ships;
-without that library the form ends with the normalisation.
+without that library the operator fails.
 
 ``fold_case`` is on by default in ``visual_forms`` users that compare loosely;
 problem 7 states that letter case is a visible difference, so its query turns
@@ -37,11 +37,11 @@ _EXTRA = {"〜": "~", "〰": "~", "∼": "~"}
 
 def lookalikes(spark: SparkSession) -> dict[str, str]:
     """Character to prototype, for every assigned character that has another one; its size is bounded by Unicode's."""
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker
     try:
-        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker
         checker = checker.Builder().setChecks(checker.CONFUSABLE).build()
-    except Exception:  # the library isn't there
-        return {}
+    except TypeError as e:  # a name py4j can't resolve stays a package
+        raise RuntimeError("the look-alike table needs the ICU library of Spark's jars") from e
     chars = [chr(c) for c in range(0x21, 0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co", "Cc", "Cf", "Zs", "Zl", "Zp")]
     forms = checker.getSkeleton("\n".join(chars)).split("\n")
     if len(forms) != len(chars):
@@ -81,9 +81,15 @@ def lookalike_pairs(rows: DataFrame, fold_case: bool = False) -> DataFrame:
     shelf = Shelf(rows.sparkSession, "visual")
     texts = shelf.put(visual_forms(rows.select("table_name", "text").distinct(), "text", fold_case).filter(F.col("form") != ""), "texts")
     several = texts.groupBy("table_name", "form").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("table_name", "form")
-    held = shelf.put(rows.join(texts.join(several, ["table_name", "form"], "left_semi"), ["table_name", "text"]).distinct(), "held")
-    a, b = (held.select("table_name", "form", F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return a.join(b, ["table_name", "form"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("text_a") != F.col("text_b"))).select("table_name", "id_a", "id_b").distinct()
+    texts = shelf.put(texts.join(several, ["table_name", "form"], "left_semi"), "several")
+    # distinct texts are paired first, so copies of one text never meet each other
+    one, two = (texts.select("table_name", "form", F.col("text").alias(f"text_{x}")) for x in "xy")
+    pairs = one.join(two, ["table_name", "form"]).filter("text_x < text_y").select("table_name", "text_x", "text_y")
+    held = shelf.put(rows.join(texts.select("table_name", "text"), ["table_name", "text"], "left_semi").distinct(), "held")
+    for x in "xy":
+        pairs = pairs.join(held.select("table_name", F.col("text").alias(f"text_{x}"), F.col("id").alias(f"id_{x}")), ["table_name", f"text_{x}"])
+    # an id may hold both texts
+    return pairs.filter("id_x <> id_y").select("table_name", F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")).distinct()
 
 
 def visual_classes(rows: DataFrame, fold_case: bool = False) -> DataFrame:

@@ -241,6 +241,35 @@ def test_initials_are_found_in_items_of_any_size(spark):
         assert {(f"x:{i}0", f"x:{i}1") for i in range(3)} <= got
 
 
+def test_precedence_is_closed_over_chains_and_cycles(spark):
+    order = [("f", "a", "b"), ("f", "b", "c"), ("f", "c", "d"), ("f", "d", "b"), ("f", "d", "e"), ("f", "x", "e"), ("g", "a", "z")]
+    got = {(r.field_name, r.value): r.level for r in survivor.currency_levels(spark.createDataFrame(order, "field_name string, old string, new string"), Shelf(spark, "t")).collect()}
+    assert got[("f", "b")] == got[("f", "c")] == got[("f", "d")] == 1
+    assert (got[("f", "a")], got[("f", "x")], got[("f", "e")], got[("g", "a")], got[("g", "z")]) == (0, 0, 2, 0, 1)
+    assert survivor.currency_levels(spark.createDataFrame([], "field_name string, old string, new string"), Shelf(spark, "t")).collect() == []
+
+
+def test_latest_value_without_timestamps_goes_over_a_chain(spark):
+    from datetime import datetime
+
+    # a -> b and b -> c are learned from stamped groups; the bare group holds only a and c
+    rows = [(g, f"{g}{v}", 1, datetime(2020, 1, i + 1), v, "s") for g, p in (("g1", "ab"), ("g2", "bc")) for i, v in enumerate(p)]
+    rows += [("g3", "1", 1, None, "a", "s"), ("g3", "2", 1, None, "c", "s")]
+    df = spark.createDataFrame(rows, "group_id string, row_id string, source_count int, at timestamp, f string, f_source string")
+    ranks = spark.createDataFrame([("s", 1)], "source string, trust_rank int")
+    usable = lambda c: {r.group_id: r.value for r in survivor.survivors(df, ranks, ("f",), currency=c).collect()}["g3"]
+    assert usable(True) == "c" and usable(False) == "a"
+
+
+def test_wide_degree_classes_change_little(spark, monkeypatch):
+    classes = [("r", side, k, 60) for side in ("item", "basket") for k in range(1, 40)]
+    df = spark.createDataFrame(classes, "s string, side string, degree long, count long")
+    exact = {(r.side, r.degree): r.fit for r in cooccur.fitted_classes(df).collect()}
+    monkeypatch.setattr(cooccur, "EXACT", 20)
+    rough = cooccur.fitted_classes(df).collect()
+    assert len(exact) == len(classes) and all(abs(r.fit / exact[r.side, round(r.degree)] - 1) < 0.03 for r in rough)
+
+
 def test_title_candidates_equal_brute_force(spark):
     rng = random.Random(5)
     rows = []
