@@ -75,13 +75,18 @@ def canonical_id(ids: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", F.sort_array(ids)), 256), 1, 12))
 
 
+# Where a label names episodes, what else is numbered there, and the longest range read.
+_EPISODES_IN = r"(?i)\(([^)]*\beps?\.?\s[^)]*)\)"
+_NOT_EPISODES = r"(?i)(?:OP|ED|SP|OVA)\s*\d+"
+_LONGEST_RANGE = 500
+
+
 def parse_episodes(c: Column) -> Column:
-    """Sorted distinct episode numbers in a text like ``1-3, 5``; openings, endings and specials are left out, ranges over 500 ignored."""
-    text = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "０１２３４５６７８９～〜－", "0123456789~~-"), r"(?i)(OP|ED|SP|OVA)\s*\d+", " ")
-    ranges = F.regexp_extract_all(text, F.lit(r"(\d{1,4}\s*[-~]\s*\d{1,4})"), F.lit(1))
-    ends = F.transform(ranges, lambda r: F.struct(F.regexp_extract(r, r"^(\d+)", 1).cast("int").alias("a"), F.regexp_extract(r, r"(\d+)$", 1).cast("int").alias("b")))
-    good = F.filter(ends, lambda e: (e["b"] >= e["a"]) & (e["b"] - e["a"] <= 500))
+    """Sorted distinct episode numbers of a label like ``Layout (eps 1-3, 5)``; empty without such a bracket."""
+    text = F.regexp_replace(F.regexp_extract(F.coalesce(c, F.lit("")), _EPISODES_IN, 1), _NOT_EPISODES, "")
+    ranges = F.regexp_extract_all(text, F.lit(r"(\d+\s*[-–]\s*\d+)"), F.lit(1))
+    ends = F.transform(ranges, lambda r: F.struct(F.regexp_extract(r, r"^(\d+)", 1).try_cast("int").alias("a"), F.regexp_extract(r, r"(\d+)$", 1).try_cast("int").alias("b")))
+    good = F.filter(ends, lambda e: (e["b"] >= e["a"]) & (e["b"] - e["a"] <= _LONGEST_RANGE))
     spans = F.flatten(F.transform(good, lambda e: F.sequence(e["a"], e["b"])))
-    rest = F.regexp_replace(text, r"\d{1,4}\s*[-~]\s*\d{1,4}", " ")
-    single = F.transform(F.regexp_extract_all(rest, F.lit(r"(\d{1,4})"), F.lit(1)), lambda x: x.cast("int"))
-    return F.array_sort(F.array_distinct(F.concat(spans, single)))
+    single = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"\d+\s*[-–]\s*\d+", ""), F.lit(r"(?<!\w)(\d+)(?!\w*[A-Za-z])"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(spans, single), lambda x: x.isNotNull())))

@@ -68,27 +68,33 @@ def birank(edges: DataFrame, shelf: Shelf, alpha: float = 0.85, beta: float = 0.
     p_sum = edges.groupBy("person").agg(F.sum("weight").alias("ps"))
     w_sum = edges.groupBy("work").agg(F.sum("weight").alias("ws"))
     e = shelf.put(edges.join(p_sum, "person").join(w_sum, "work").select("person", "work", (F.col("weight") / F.col("ws")).alias("t"), (F.col("weight") / F.col("ps")).alias("s")), "links")
-    n_p, n_w = e.select("person").distinct().count(), e.select("work").distinct().count()
-    p = e.groupBy("person").agg(F.lit(1.0 / max(n_p, 1)).alias("rank"))
-    u = e.groupBy("work").agg(F.lit(1.0 / max(n_w, 1)).alias("rank"))
-    p, u = shelf.put(p, "p0"), shelf.put(u, "u0")
-
-    def scaled(x: DataFrame, key: str) -> DataFrame:
-        total = x.agg(F.sum("raw").alias("total"))
-        return x.crossJoin(F.broadcast(total)).select(key, (F.col("raw") / F.col("total")).alias("rank"))  # one row
-
-    for k in range(1, most + 1):
-        raw_p = e.join(u, "work").groupBy("person").agg((alpha * F.sum(F.col("t") * F.col("rank")) + (1 - alpha) / n_p).alias("raw"))
-        raw_u = e.join(p, "person").groupBy("work").agg((beta * F.sum(F.col("s") * F.col("rank")) + (1 - beta) / n_w).alias("raw"))
-        new_p = shelf.put(scaled(raw_p, "person").join(p.withColumnRenamed("rank", "old"), "person"), f"p{k}")
-        new_u = shelf.put(scaled(raw_u, "work").join(u.withColumnRenamed("rank", "old"), "work"), f"u{k}")
-        gap = max(x.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0 for x in (new_p, new_u))
-        p, u = new_p.drop("old"), new_u.drop("old")
-        shelf.drop(f"p{k - 1}")
-        shelf.drop(f"u{k - 1}")
-        if gap < tol:
+    start = shelf.put(e.groupBy("person").agg(F.count("*").alias("k")), "birank_persons"), shelf.put(e.groupBy("work").agg(F.count("*").alias("k")), "birank_works")
+    n_p, n_w = (x.count() for x in start)
+    sides = {"p": ("person", "work", "t", alpha, n_p), "u": ("work", "person", "s", beta, n_w)}
+    cur = {c: x.select(sides[c][0], F.lit(1.0 / max(sides[c][4], 1)).alias("rank")) for c, x in zip("pu", start, strict=True)}
+
+    def step(c: str, other: DataFrame) -> DataFrame:
+        # shares of a row sum to 1 on the other side, so ranks keep the sum 1
+        key, far, part, mix, n = sides[c]
+        return e.join(other, far).groupBy(key).agg((mix * F.sum(F.col(part) * F.col("rank")) + (1 - mix) / n).alias("rank"))
+
+    for k in range(0, most, CHAIN):
+        chain = [cur]
+        for _ in range(CHAIN):
+            chain.append({"p": step("p", chain[-1]["u"]), "u": step("u", chain[-1]["p"])})
+        done, state = None, {}
+        for c in "pu":
+            key = sides[c][0]
+            x = chain[0][c].withColumnRenamed("rank", "r0")
+            for i in range(1, CHAIN + 1):
+                x = x.join(chain[i][c].withColumnRenamed("rank", f"r{i}"), key)
+            state[c] = shelf.put(x, f"{c}{k}")
+        gaps = [[x or 0.0 for x in state[c].agg(*[F.max(F.abs(F.col(f"r{i}") - F.col(f"r{i - 1}"))) for i in range(1, CHAIN + 1)]).first()] for c in "pu"]
+        done = next((i + 1 for i in range(CHAIN) if max(g[i] for g in gaps) < tol), None)
+        cur = {c: state[c].select(sides[c][0], F.col(f"r{done or CHAIN}").alias("rank")) for c in "pu"}
+        if done:
             break
-    return p, u
+    return cur["p"], cur["u"]
 
 
 def two_way_effects(panel: DataFrame, shelf: Shelf, tol: float = 1e-8, most: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -100,14 +106,17 @@ def two_way_effects(panel: DataFrame, shelf: Shelf, tol: float = 1e-8, most: int
     """
     cell = shelf.put(panel.groupBy("person", "studio").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).filter("w > 0"), "cells")
     s = shelf.put(cell.groupBy("studio").agg(F.lit(0.0).alias("effect")), "s0")
-    for k in range(1, most + 1):
-        p = cell.join(s, "studio").groupBy("person").agg((F.sum(F.col("wy") - F.col("w") * F.col("effect")) / F.sum("w")).alias("p"))
-        new = cell.join(p, "person").groupBy("studio").agg((F.sum(F.col("wy") - F.col("w") * F.col("p")) / F.sum("w")).alias("new"))
-        new = shelf.put(new.join(s, "studio"), f"s{k}")
-        gap = new.agg(F.max(F.abs(F.col("new") - F.col("effect")))).first()[0] or 0.0
-        s = new.select("studio", F.col("new").alias("effect"))
-        shelf.drop(f"s{k - 1}")
-        if gap < tol:
+    for k in range(0, most, CHAIN):
+        state, cur = s.withColumnRenamed("effect", "r0"), s
+        for i in range(1, CHAIN + 1):
+            p = cell.join(cur, "studio").groupBy("person").agg((F.sum(F.col("wy") - F.col("w") * F.col("effect")) / F.sum("w")).alias("p"))
+            cur = cell.join(p, "person").groupBy("studio").agg((F.sum(F.col("wy") - F.col("w") * F.col("p")) / F.sum("w")).alias("effect"))
+            state = state.join(cur.withColumnRenamed("effect", f"r{i}"), "studio")
+        state = shelf.put(state, f"rounds{k}")
+        gaps = state.agg(*[F.max(F.abs(F.col(f"r{i}") - F.col(f"r{i - 1}"))) for i in range(1, CHAIN + 1)]).first()
+        done = next((i + 1 for i, g in enumerate(gaps) if (g or 0.0) < tol), None)
+        s = state.select("studio", F.col(f"r{done or CHAIN}").alias("effect"))
+        if done:
             break
     shift = s.filter("effect <> 0").agg(F.coalesce(F.avg("effect"), F.lit(0.0)).alias("shift"))
     p = cell.join(s, "studio").groupBy("person").agg((F.sum(F.col("wy") - F.col("w") * F.col("effect")) / F.sum("w")).alias("effect"))

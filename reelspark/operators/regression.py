@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import f_tail, t_tail
+from ..session import Shelf
 
 ONE = "(one)"
 
@@ -136,13 +137,30 @@ def cox(df: DataFrame, time: str, event: str, xs: list[str], most: int = 30, tol
     return Fit(dict(zip(xs, b.tolist(), strict=True)), dict(zip(xs, se.tolist(), strict=True)), p, df.count(), float("nan"))
 
 
-def within(df: DataFrame, columns: list[str], groups: list[str], rounds: int = 20) -> DataFrame:
-    """``df`` with ``columns`` demeaned by each of ``groups`` in turn, ``rounds`` times (once for one group)."""
-    for _ in range(1 if len(groups) == 1 else rounds):
-        for g in groups:
-            mean = df.groupBy(g).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
-            df = df.join(mean, g).select(*[(F.col(c) - F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
-    return df
+def within(df: DataFrame, columns: list[str], groups: list[str], shelf: Shelf | None = None, tol: float = 1e-9) -> DataFrame:
+    """``df`` with ``columns`` demeaned by each of ``groups``; by several in turn until no group's mean is beyond ``tol``.
+
+    Alternate projections converge, so the rounds end; each is written to ``shelf``.
+    """
+    def by(df: DataFrame, g: str, more: list[str]) -> DataFrame:
+        mean = df.groupBy(g).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
+        left = [F.abs(F.col(f"__{c}")) for c in columns]
+        moved = F.greatest(*left, *[F.col(c) for c in more]) if len(left) + len(more) > 1 else left[0]
+        return df.join(mean, g).select(*[(F.col(c) - F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in df.columns if c != "__moved"], moved.alias("__moved"))
+
+    if len(groups) == 1:
+        return by(df, groups[0], []).drop("__moved")
+    if shelf is None:
+        raise ValueError("demeaning by several groups needs a shelf for its rounds")
+    k = 0
+    while True:
+        for i, g in enumerate(groups):
+            df = by(df, g, ["__moved"] if i else [])
+        df = shelf.put(df, f"within{k}")
+        shelf.drop(f"within{k - 2}")
+        k += 1
+        if (df.agg(F.max("__moved")).first()[0] or 0.0) < tol:
+            return df.drop("__moved")
 
 
 def bootstrap(df: DataFrame, statistic: dict[str, Column], replicates: int = 200, seed: int = 42, weight: str = "__w") -> DataFrame:

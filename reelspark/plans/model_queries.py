@@ -51,9 +51,7 @@ def did_model(d: Domain) -> DataFrame:
     tr = transfer_events(d).select("person", "event_year")
     x = person_years(d).join(tr, "person", "left").select("person", "year", F.col("works").cast("double").alias("works"), F.coalesce((F.col("year") >= F.col("event_year")).cast("double"), F.lit(0.0)).alias("after"))
     shelf = Shelf(d.spark, "did")
-    x = shelf.put(x, "panel")
-    for k in range(4):  # alternate projections; each write keeps the plan short
-        x = shelf.put(rg.within(rg.within(x, ["works", "after"], ["person"]), ["works", "after"], ["year"]), f"w{k}")
+    x = rg.within(shelf.put(x, "panel"), ["works", "after"], ["person", "year"], shelf)
     return _table(d, rg.ols(x, "works", ["after"], intercept=False, cluster="person"))
 
 

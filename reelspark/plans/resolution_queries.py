@@ -13,28 +13,27 @@ from .career_queries import _MAIN, _YEAR, assignments, person_years
 from .domain import Domain
 from .network_queries import _TIES, both_ways, team, ties
 from .network_queries import _TEAM as _TEAM_SQL
-from .person_queries import similar_names
+from .profile_queries import _ALIKE, _LIKE, _ROMAJI_SQL, alike_names, romaji_matches
 from .quality_queries import _NAME, _name
 from .registry import Registry
 
 R = Registry()
 _n = lambda: F.count("*")
 
-_LINKS = f""", nm AS (SELECT person, {_NAME.format('name_ja')} AS k FROM person WHERE coalesce(name_ja, '') <> ''), fm AS (SELECT k, min(person) AS m FROM nm WHERE k <> '' GROUP BY k HAVING count(*) > 1),
-pl AS (SELECT person, lower(regexp_replace(coalesce(name_en, ''), '[^A-Za-z]+', '', 'g')) AS name FROM person), bl AS (SELECT person, name, split_part(person, ':', 1) AS src, substr(name, 1, 3) AS k FROM pl WHERE length(name) >= 5),
-e0 AS (SELECT nm.person AS a, fm.m AS b FROM nm JOIN fm ON fm.k = nm.k WHERE nm.person <> fm.m UNION SELECT a.person, b.person FROM bl a JOIN bl b ON a.k = b.k AND a.src = b.src AND a.person < b.person AND a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 WHERE levenshtein(a.name, b.name) <= 1),
+_LINKS = _LIKE + _ROMAJI_SQL + f""", nm AS (SELECT person, {_NAME.format('name_ja')} AS k FROM person WHERE coalesce(name_ja, '') <> ''), fm AS (SELECT k, min(person) AS m FROM nm WHERE k <> '' GROUP BY k HAVING count(*) > 1),
+e0 AS (SELECT nm.person AS a, fm.m AS b FROM nm JOIN fm ON fm.k = nm.k WHERE nm.person <> fm.m UNION SELECT pa, pb FROM lk WHERE {_ALIKE} UNION SELECT rn.person, rm.canonical FROM rn JOIN rm ON rm.k = rn.k WHERE rn.src = 'anilist'),
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), rc AS (SELECT a AS node, a AS seen FROM e UNION SELECT rc.node, e.b FROM rc JOIN e ON e.a = rc.seen)
 SELECT node AS person, min(seen) AS canonical FROM rc GROUP BY node"""
 
 
 @R.query(_LINKS)
 def resolved_persons(d: Domain) -> DataFrame:
-    """Canonical id of persons linked by equal names or names one edit apart, closed over chains."""
+    """Canonical id of persons linked by equal names, by alike names of one source or by Latin names of two, closed over chains."""
     nm = d.person.filter(F.coalesce("name_ja", F.lit("")) != "").select("person", _name("name_ja").alias("k")).filter("k <> ''")
     least = nm.groupBy("k").agg(F.min("person").alias("m"))
     exact = nm.join(least, "k").filter("person <> m").select(F.col("person").alias("src"), F.col("m").alias("dst"))
-    near = similar_names(d).select(F.col("person_a").alias("src"), F.col("person_b").alias("dst"))
-    return components(exact.unionByName(near), Shelf(d.spark, "persons")).select(F.col("node").alias("person"), F.col("component").alias("canonical"))
+    links = exact.unionByName(alike_names(d).toDF("src", "dst")).unionByName(romaji_matches(d).select(F.col("person").alias("src"), F.col("canonical").alias("dst")))
+    return components(links, Shelf(d.spark, "persons")).select(F.col("node").alias("person"), F.col("component").alias("canonical"))
 
 
 _CORE = "regexp_replace(trim(title), '[ ・]*(第?[0-9]+期|第[0-9]+シリーズ|Season ?[0-9]+|PART ?[0-9]+|その[0-9]+|II+|[0-9])$', '')"

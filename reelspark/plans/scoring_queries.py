@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.roles import DIRECTORS, EPISODIC, THROUGH, in_list
 from ..operators import graphs as gr
 from ..operators import iterative as it
+from ..operators.akm import Effects, estimate
 from ..session import Shelf
 from .career_queries import assignments, dormancy
 from .domain import Domain
@@ -23,7 +24,7 @@ _n = lambda: F.count("*")
 
 
 def panel(d: Domain) -> DataFrame:
-    """(person, work, studio, y, w): one observation per person and work with a year and a studio.
+    """(person, work, studio, y, w, experience, role_w): one observation per person and work with a year and a studio.
 
     y: log team size times log episodes times duration in half-hours (at most 2).
     w: role weight over the greatest, longer for through-line and shorter for
@@ -38,31 +39,32 @@ def panel(d: Domain) -> DataFrame:
     cover = F.when(F.col("role").isin(*THROUGH), 1.0).when(F.col("role").isin(*EPISODIC) & (F.col("known") > 26), 26.0 / F.col("known")).otherwise(1.0)
     exp = F.least(1 + 0.3 * (1 - F.exp(-(F.col("wy") - first) / 5.0)), F.lit(1.3))
     c = c.withColumn("cw", F.col("weight") / 3.0 * kind * cover * exp)
-    x = c.groupBy("person", "work").agg(F.max("wy").alias("year"), F.sum("cw").alias("w"), F.max("eps").alias("eps"), F.max("dur").alias("dur")).join(staff, "work")
+    c = c.withColumn("experience", F.col("wy") - first)
+    x = c.groupBy("person", "work").agg(F.max("wy").alias("year"), F.sum("cw").alias("w"), F.max("experience").alias("experience"), F.max("weight").alias("role_w"), F.max("eps").alias("eps"), F.max("dur").alias("dur")).join(staff, "work")
     x = x.join(assignments(d), ["person", "year"]).withColumn("y", F.log1p("staff") * F.log1p("eps") * F.least(F.col("dur") / 30.0, F.lit(2.0)))
     cap = x.agg(F.percentile("w", F.lit(0.95)).alias("cap"))
     x = x.crossJoin(F.broadcast(cap)).withColumn("w", F.least("w", "cap"))  # one row
     mid = x.agg(F.percentile("w", F.lit(0.5)).alias("mid"))
-    return x.crossJoin(F.broadcast(mid)).select("person", "work", "studio", "y", (F.col("w") / F.col("mid")).alias("w"))
+    return x.crossJoin(F.broadcast(mid)).select("person", "work", "studio", "y", "experience", "role_w", (F.col("w") / F.col("mid")).alias("w"))
 
 
-def effects(d: Domain, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+def effects(d: Domain, shelf: Shelf) -> Effects:
     p = shelf.put(panel(d), "panel")
     # only the largest set of persons and studios connected by moves identifies the effects
     comp = it.components(p.select(F.concat(F.lit("p|"), "person").alias("src"), F.concat(F.lit("s|"), "studio").alias("dst")), shelf)
     top = comp.groupBy("component").agg(_n().alias("n")).orderBy(F.desc("n"), "component").limit(1)
     inside = comp.join(F.broadcast(top.select("component")), "component", "left_semi").filter("node like 's|%'").select(F.substring("node", 3, 1 << 20).alias("studio"))
     p = shelf.put(p.join(inside, "studio", "left_semi"), "connected")
-    persons, studios = it.two_way_effects(p, shelf)
-    persons, studios = shelf.put(persons, "person_effect"), shelf.put(studios, "studio_effect")
-    return it.shrink_effects(p, persons, studios), studios
+    movers = assignments(d).join(p.select("person").distinct(), "person", "left_semi").groupBy("person").agg(F.countDistinct("studio").alias("k")).filter("k > 1").select("person")
+    counts = d.credit.groupBy("person").agg(_n().alias("n"))
+    return estimate(p, ["experience", "role_w"], shelf.put(movers, "movers"), shelf.put(counts, "counts"), shelf)
 
 
 @R.query()
 def person_effects(d: Domain) -> DataFrame:
-    """Person effects beside studio effects, raw and shrunk."""
+    """Person effects beside studio effects: raw; and shrunk, free of the count's slope and with their part of the studio's effect."""
     p, _ = effects(d, Shelf(d.spark, "akm"))
-    return p.select("person", F.round("effect", 6).alias("effect"), F.round("shrunk", 6).alias("shrunk"), "n")
+    return p.select("person", F.round("raw", 6).alias("raw"), F.round("effect", 6).alias("effect"), "n")
 
 
 @R.query()
@@ -106,7 +108,7 @@ def integrated_values(d: Domain) -> DataFrame:
     pat = patrons(d).join(r.withColumnsRenamed({"person": "director", "rank": "dr"}), "director").groupBy("person").agg(F.sum(F.col("dr") * F.log1p("n")).alias("patronage"))
     years = assignments(d).groupBy("person", "studio").agg(_n().alias("k")).withColumn("share", F.col("k") / F.sum("k").over(Window.partitionBy("person")))
     exposure = years.join(s, "studio").groupBy("person").agg(F.sum(F.col("share") * F.col("effect")).alias("exposure"))
-    x = p.select("person", F.col("shrunk").alias("effect")).join(r, "person", "full").join(exposure, "person", "left").join(pat, "person", "left").join(dormancy(d).select("person", "dormancy"), "person", "left")
+    x = p.select("person", "effect").join(r, "person", "full").join(exposure, "person", "left").join(pat, "person", "left").join(dormancy(d).select("person", "dormancy"), "person", "left")
     cols = ["effect", "rank", "exposure", "patronage"]
     x = shelf.put(x, "parts")
     y = it.integrated_value(x, cols, it.principal_weights(x, cols), "dormancy")

@@ -78,7 +78,8 @@ def test_text_functions(spark):
 
 
 def test_episodes(spark):
-    raw = [("#1-3, 5", [1, 2, 3, 5]), ("第１２話、OP2", [12]), ("9~7 8", [8]), ("1-9999", []), (None, []), ("none", [])]
+    raw = [("Layout (eps 1-3, 5)", [1, 2, 3, 5]), ("Director (ep. 2)", [2]), ("x (OP24, eps 903, 1000)", [903, 1000]), ("y (eps 9-7, 8)", [8]), ("z (ep 1-9999)", []), (None, []), ("", [])]
+    raw += [("2nd Key Animation", []), ("CGI Director 12345", []), ("(ep 3a, 4)", [4]), ("(ep 99999999999)", [])]
     df = spark.createDataFrame(raw, "t string, want array<int>").select(parse_episodes(F.col("t")).alias("got"), "want")
     assert all(r.got == r.want for r in df.collect())
 
