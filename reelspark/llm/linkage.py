@@ -263,7 +263,11 @@ def similar_titles(nodes: DataFrame, c: str, shelf: Shelf) -> DataFrame:
     met = near.distinct()
     for x in "ar":
         met = met.join(texts.filter(F.col("side") == x).select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"{c}_{x}")), f"id_{x}")
-    return met.select(f"{c}_a", f"{c}_r").filter(_title_score(c)[0] >= TITLE)
+    # edits up to what the score or a gap allows are counted in a band; most pairs leave it
+    x, y = f"length({c}_a)", f"length({c}_r)"
+    most = f"greatest(abs({x} - {y}), CAST(floor(greatest({x}, {y}) * {1 - TITLE / 0.85} + 1e-9) AS INT), 2)"
+    near = F.expr(f"levenshtein({c}_a, {c}_r, {most}) >= 0")
+    return met.select(f"{c}_a", f"{c}_r").filter(near).filter(_title_score(c)[0] >= TITLE)
 
 
 def _fits() -> Column:
