@@ -205,12 +205,12 @@ _PICK = "h long, part long, pos int"
 _TEXT = "part long, off int, text string"
 
 
-def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+def _repeated(rows: DataFrame, key: list[str], shelf: Shelf, name: str) -> DataFrame:
     """The stored rows whose ``key`` occurs in two different texts; the rows of a common key stay where they are."""
     one = F.col(key[0]) if len(key) == 1 else F.struct(*key)
     rows = rows.withColumn("window", one)
     twice = rows.groupBy("window").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).filter(F.col("a") != F.col("b")).select("window", "n")
-    return lookup_join(rows, rows.count(), twice, "window", "n").drop("window")
+    return lookup_join(rows, rows.count(), shelf.put(twice, name), "window", "n").drop("window")
 
 
 def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = MIN_LEN, first: int = FIRST) -> DataFrame:
@@ -221,6 +221,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     classes = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("n_chars"))
     classes = shelf.put(classes.select("doc_id", "n_chars", F.struct("digest", "n_chars").alias("same")), "classes")
     kept = classes.groupBy("same").agg(F.min("doc_id").alias("part"), F.count("*").alias("copies")).withColumn("n", F.col("copies"))
+    kept = shelf.put(kept, "kept")
     members = shelf.put(lookup_join(classes, classes.count(), kept, "same", "n").select("doc_id", "part", "copies", "n_chars"), "members")
     copied = members.filter(F.col("copies") > 1)
     extra = copied.filter(F.col("doc_id") != F.col("part")).select("doc_id", "part")
@@ -231,7 +232,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         picks = shelf.put(parts.mapInPandas(_picks(length, min_len), _PICK), f"picks{k}")
         # copies pick the same windows: they count as the class's representative
         picks = picks.join(extra.select(F.col("doc_id").alias("part")), "part", "left_anti") if k == 0 else picks
-        at = _repeated(picks, ["h"]).groupBy("part").agg(F.collect_set("pos").alias("at"))
+        at = _repeated(picks, ["h"], shelf, f"twice{k}").groupBy("part").agg(F.collect_set("pos").alias("at"))
         if k == 0:
             held = parts.join(at, "part")
         else:
@@ -242,7 +243,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     if len(steps) == 1:
         parts = parts.join(extra.select(F.col("doc_id").alias("part")), "part", "left_anti")
     windows = shelf.put(parts.mapInPandas(_windows(min_len), "h long, g long, part long, pos int"), "windows")
-    at = _repeated(windows, ["h", "g"]).groupBy("part").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    at = _repeated(windows, ["h", "g"], shelf, "twice").groupBy("part").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
