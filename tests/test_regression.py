@@ -71,6 +71,19 @@ def test_logistic_and_cox(data):
     assert abs(grad) < 1e-5 and hz.coef["a"] > 0
 
 
+def test_within_two_groups_ends_when_no_mean_is_left(spark):
+    from reelspark.session import Shelf
+
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(9)), int(rng.integers(5)), float(rng.normal())) for _ in range(120)]  # unbalanced
+    rows = [(a, b, y + a - 2 * b) for a, b, y in rows]
+    got = rg.within(spark.createDataFrame(rows, "a int, b int, y double"), ["y"], ["a", "b"], Shelf(spark, "t"), tol=1e-8)
+    for g in "ab":
+        assert all(abs(r.m) < 1e-7 for r in got.groupBy(g).agg(F.avg("y").alias("m")).collect())
+    with pytest.raises(ValueError):
+        rg.within(got, ["y"], ["a", "b"])
+
+
 def test_within_and_bootstrap(data, spark):
     df, (y, *_, g, _c, _t, _e) = data
     d = rg.within(df.filter("y is not null").select("y", "g"), ["y"], ["g"])
