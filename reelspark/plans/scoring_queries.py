@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import DIRECTORS, EPISODIC, THROUGH, in_list
+from ..operators import blocks
 from ..operators import graphs as gr
 from ..operators import iterative as it
 from ..operators.akm import Effects, estimate
 from ..session import Shelf
 from .career_queries import assignments, dormancy
 from .domain import Domain
-from .network_queries import bipartite_edges, ties
+from .network_queries import bipartite_edges, graph, ties
 from .registry import Registry
 
 R = Registry()
@@ -127,8 +128,7 @@ def network_components(d: Domain) -> DataFrame:
 
 @R.query()
 def communities(d: Domain) -> DataFrame:
-    shelf = Shelf(d.spark, "communities")
-    return gr.louvain(shelf.put(ties(d), "ties"), shelf).select(F.col("node").alias("person"), "community")
+    return blocks.communities(graph(d, Shelf(d.spark, "communities"), True)).withColumnRenamed("node", "person")
 
 
 # Betweenness is exact up to so many nodes, from so many sampled sources beyond.

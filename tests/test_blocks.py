@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from pathlib import Path
 
 import pytest
 
-from reelspark.operators import blocks, graphs
+from reelspark.operators import blocks, graphs, iterative
 from reelspark.session import Shelf
 
 TEAM = "work string, person string, lead boolean, a double, imp double"
@@ -61,3 +62,83 @@ def test_reach_keeps_teams_not_ties(spark):
     shelf = Shelf(spark, "t")
     got = {r.n_reached for r in blocks.two_step_reach(spark.createDataFrame(rows, TEAM), shelf).collect()}
     assert got == {499} and stored(shelf) < 4 * 500 * 499 // 2  # not a byte a tie
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """Several blocks and several lots of pairs, as on large graphs."""
+    monkeypatch.setattr(blocks, "ENTRIES", 60)
+    monkeypatch.setattr(blocks, "PAIRS", 50)
+
+
+def edges_of(spark, rows):
+    return spark.createDataFrame([(a, b, k, w) for (a, b), (k, w) in tied(rows).items()], "src string, dst string, shared long, weight double")
+
+
+def of_teams(spark, rows, what, weighted=True):
+    return blocks.collaboration(spark.createDataFrame(rows, TEAM), Shelf(spark, what), weighted)
+
+
+def test_communities_of_blocks(spark, team, small):
+    g = of_teams(spark, team, "blocks")
+    assert g.n > 2 * g.size
+    got = {r.node: r.community for r in blocks.communities(g).collect()}
+    assert got == {r.node: r.community for r in graphs.louvain(edges_of(spark, team), Shelf(spark, "edges")).collect()}
+    assert len(set(got.values())) > 2
+
+
+def test_bridges_of_blocks(spark, team, small):
+    g = of_teams(spark, team, "blocks")
+    com = {r.node: r.community for r in blocks.communities(g).collect()}
+    size = {c: list(com.values()).count(c) for c in com.values()}
+    want = {}
+    for (a, b), (shared, _) in tied(team).items():
+        for u, v in ((a, b), (b, a)):
+            if com[u] != com[v]:
+                x = want.setdefault(u, [set(), 0.0])
+                x[0].add(com[v])
+                x[1] += min(size[com[u]], size[com[v]]) ** 0.5 * math.log1p(shared)
+    got = {r.node: (r.communities, round(r.score, 9)) for r in blocks.bridges(of_teams(spark, team, "again")).collect()}
+    assert got == {u: (len(c), round(s, 9)) for u, (c, s) in want.items()}
+
+
+def test_spread_of_blocks(spark, team, small):
+    com = {r.node: r.community for r in blocks.communities(of_teams(spark, team, "blocks")).collect()}
+    got = {r.node: (r.degree, r.communities) for r in blocks.spread_of_ties(of_teams(spark, team, "again")).collect()}
+    assert got == {u: (len(vs), len({com[v] for v in vs})) for u, vs in partners(team).items()}
+
+
+def test_triangles_and_constraint_of_blocks(spark, team, small):
+    nb = partners(team)
+    g = of_teams(spark, team, "blocks", False)
+    name = {r.i: r.node for r in g.ids.collect()}
+    t = {name[r.i]: r.t for r in blocks.closed(g).collect()}
+    assert t == {u: sum(len(nb[u] & nb[v]) for v in nb[u]) // 2 for u in nb} and sum(t.values()) > 0
+    got = {r.node: (r.k, round(r.constraint_, 9), r.redundant) for r in blocks.constraint(g).collect()}
+    burt = lambda u: sum(((1 + sum(1 / len(nb[x]) for x in nb[u] & nb[v])) / len(nb[u])) ** 2 for v in nb[u])
+    assert got == {u: (len(nb[u]), round(burt(u), 9), sum(len(nb[u] & nb[v]) - 1 for v in nb[u])) for u in nb}
+
+
+def test_cores_of_blocks(spark, team, small):
+    want = {r.node: r.core for r in graphs.core_numbers(edges_of(spark, team), Shelf(spark, "edges")).collect()}
+    g = of_teams(spark, team, "blocks", False)
+    got = blocks.cores(g)
+    assert {r.node: r.core for r in got.collect()} == want
+    nb, name = partners(team), {r.i: r.node for r in g.ids.collect()}
+    share = {name[r.i]: r.share for r in blocks.share_of_partners(g, got.selectExpr("i", "core > 3 as x")).collect()}
+    assert share == {u: sum(want[v] > 3 for v in nb[u]) / len(nb[u]) for u in nb}
+
+
+def test_betweenness_of_blocks(spark, team, small, monkeypatch):
+    monkeypatch.setattr(blocks, "DENSE", 8 * 60 * 20)  # several groups of sources
+    want = {r.node: round(r.score, 9) for r in iterative.betweenness(edges_of(spark, team), Shelf(spark, "edges")).collect()}
+    assert {r.node: round(r.score, 9) for r in blocks.betweenness(of_teams(spark, team, "blocks", False)).collect()} == want
+
+
+def test_paths_of_blocks(spark, team, small):
+    g = of_teams(spark, team, "blocks", False)
+    hub = blocks.most_tied(g)
+    targets = spark.createDataFrame([(p,) for p in [*partners(team), "x", "absent"]], "target string")
+    asked = targets.selectExpr(f"'{hub['node']}' as source", "target")
+    want = {(r.target, r.hops, r.paths, tuple(r.path)) for r in graphs.shortest_paths(edges_of(spark, team), asked, Shelf(spark, "edges")).collect()}
+    assert {(r.target, r.hops, r.paths, tuple(r.path)) for r in blocks.paths_from(g, hub["i"], targets).filter("hops > 0").collect()} == {w for w in want if w[1]}
