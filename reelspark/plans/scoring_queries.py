@@ -162,15 +162,7 @@ def authority(d: Domain) -> DataFrame:
 @R.query()
 def bridges(d: Domain) -> DataFrame:
     """Ties between communities per person: communities reached and score."""
-    shelf = Shelf(d.spark, "bridges")
-    e = shelf.put(ties(d), "ties")
-    com = shelf.put(gr.louvain(e, shelf), "communities")
-    size = com.groupBy("community").agg(_n().alias("size"))
-    c = com.join(size, "community")
-    x = e.join(c.select(F.col("node").alias("src"), F.col("community").alias("ca"), F.col("size").alias("sa")), "src").join(c.select(F.col("node").alias("dst"), F.col("community").alias("cb"), F.col("size").alias("sb")), "dst").filter("ca <> cb")
-    part = F.sqrt(F.least("sa", "sb")) * F.log1p("shared")
-    ends = F.explode(F.array(F.struct(F.col("src").alias("person"), F.col("cb").alias("other")), F.struct(F.col("dst").alias("person"), F.col("ca").alias("other"))))
-    return x.select(part.alias("part"), ends.alias("e")).groupBy("e.person").agg(F.countDistinct("e.other").alias("communities"), F.round(F.sum("part"), 6).alias("score"))
+    return blocks.bridges(graph(d, Shelf(d.spark, "bridges"), True)).select(F.col("node").alias("person"), "communities", F.round("score", 6).alias("score"))
 
 
 QUERIES, SQL = R.queries, R.sql
