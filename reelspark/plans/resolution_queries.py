@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.textual import parse_episodes
-from ..operators.graphs import louvain
+from ..operators import blocks
 from ..operators.iterative import components
 from ..session import Shelf
 from .career_queries import _MAIN, _YEAR, assignments, person_years
 from .domain import Domain
-from .network_queries import _TIES, both_ways, team, ties
+from .network_queries import _TIES, both_ways, graph, team, ties
 from .network_queries import _TEAM as _TEAM_SQL
 from .profile_queries import _ALIKE, _LIKE, _ROMAJI_SQL, alike_names, romaji_matches
 from .quality_queries import _NAME, _name
@@ -212,11 +212,7 @@ def resilience(d: Domain) -> DataFrame:
 @R.query()
 def community_spread(d: Domain) -> DataFrame:
     """Communities among a person's partners over their number."""
-    shelf = Shelf(d.spark, "spread")
-    e = shelf.put(ties(d), "ties")
-    com = shelf.put(louvain(e, shelf), "communities")
-    x = both_ways(e).join(com.select(F.col("node").alias("v"), "community"), "v")
-    return x.groupBy(F.col("u").alias("person")).agg(_n().alias("degree"), F.round(F.countDistinct("community") / _n(), 6).alias("spread"))
+    return blocks.spread_of_ties(graph(d, Shelf(d.spark, "spread"), True)).select(F.col("node").alias("person"), "degree", F.round(F.col("communities") / F.col("degree"), 6).alias("spread"))
 
 
 @R.query()
