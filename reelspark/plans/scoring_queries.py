@@ -118,7 +118,8 @@ def integrated_values(d: Domain) -> DataFrame:
 
 @R.query()
 def core_numbers(d: Domain) -> DataFrame:
-    return gr.core_numbers(ties(d), Shelf(d.spark, "core")).select(F.col("node").alias("person"), "core")
+    g = graph(d, Shelf(d.spark, "core"))
+    return blocks.cores(g).select(F.col("node").alias("person"), "core")
 
 
 @R.query()
