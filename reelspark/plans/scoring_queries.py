@@ -139,10 +139,8 @@ EXACT_NODES, SAMPLED_SOURCES = 500, 200
 @R.query()
 def betweenness_sample(d: Domain) -> DataFrame:
     """Betweenness: exact up to ``EXACT_NODES``, beyond from ``SAMPLED_SOURCES``; the sample is the operator's feature."""
-    shelf = Shelf(d.spark, "between")
-    e = shelf.put(ties(d).select("src", "dst"), "ties")
-    n = e.select(F.explode(F.array("src", "dst"))).distinct().count()
-    return it.betweenness(e, shelf, None if n <= EXACT_NODES else SAMPLED_SOURCES).select(F.col("node").alias("person"), F.round("score", 9).alias("score"))
+    g = graph(d, Shelf(d.spark, "between"))
+    return blocks.betweenness(g, None if g.n <= EXACT_NODES else SAMPLED_SOURCES).select(F.col("node").alias("person"), F.round("score", 9).alias("score"))
 
 
 @R.query()
