@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -302,3 +303,57 @@ def test_title_candidates_equal_brute_force(spark):
                 want.add((x[0], x[1]))
     got = {tuple(x) for x in linkage.candidate_edges(nodes, Shelf(spark, "t")).select("a", "r").collect()}
     assert len(want) > 50 and not [(rows[a], rows[r]) for a, r in want - got]
+
+
+def test_title_marks_spare_no_alike_titles(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeあ") for _ in range(rng.randrange(1, 24))) for _ in range(60)]
+    texts += [t[:k] + rng.choice("xyz") + t[k + rng.randrange(3) :] for t in texts for k in [rng.randrange(len(t))]] + ["q" * 300, "q" * 299 + "r"]
+    x = spark.createDataFrame([(t,) for t in texts], "ja_a string")
+    pairs = x.crossJoin(x.withColumnRenamed("ja_a", "ja_r")).withColumn("m", linkage.title_mark("ja_a")).withColumn("k", linkage.title_mark("ja_r"))
+    got = pairs.select((linkage._title_score("ja")[0] >= linkage.TITLE).alias("alike"), linkage.may_agree("m", "k").alias("may")).groupBy("alike", "may").count().collect()
+    n = {(r.alike, r.may): r["count"] for r in got}
+    assert (True, False) not in n and n[True, True] > 100 and n[False, False] > 2 * n[False, True]
+
+
+def test_propagation_equals_plain_rounds(spark):
+    rng = random.Random(8)
+    nodes = [(i, "a" if i < 12 else "r", rng.choice(["", "xxx", "yyy", "zzz"]), rng.choice(["", "uuu", "vvv"]), 1, False) for i in range(24)]
+    edges = [(a, r, round(rng.uniform(0.5, 1.0), 3)) for a in range(12) for r in range(12, 24) if rng.random() < 0.4]
+    family = {n[0]: [(c, n[1], t) for c, t in (("ja", n[2]), ("en", n[3])) if t] for n in nodes}
+    s0 = {(a, r): s for a, r, s in edges}
+    cur = dict(s0)
+    while True:
+        new = {}
+        for a, r in s0:
+            pull = []
+            for mine, other, pair in [(a, r, lambda x, r=r: (x, r)), (r, a, lambda x, a=a: (a, x))]:
+                for f in family[mine]:
+                    near = [cur[pair(x)] for x in family if x != mine and f in family[x] and pair(x) in cur]
+                    pull += [sum(near) / len(near)] if near else []
+            new[a, r] = (1 - linkage.PULL) * s0[a, r] + linkage.PULL * max(pull) if pull else s0[a, r]
+        moved = max(abs(new[e] - cur[e]) for e in new)
+        cur = new
+        if moved < linkage.STABLE:
+            break
+    got = linkage.propagate(spark.createDataFrame(edges, "a long, r long, s double"), spark.createDataFrame(nodes, "node long, side string, ja string, en string, season int, film boolean"), Shelf(spark, "t"))
+    got = {(x.a, x.r): x.s for x in got.collect()}
+    assert got.keys() == cur.keys() and all(abs(got[e] - cur[e]) < 1e-9 for e in cur)
+
+
+def test_shuffles_of_written_tables_are_let_go(spark):
+    def kept():
+        m = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {b.name() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(m.getAllBlocks()) if b.name().startswith("shuffle_")}
+
+    before, shelf = kept(), Shelf(spark, "t")
+    shelf.put(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "x")
+    mine = kept() - before
+    assert mine
+    shelf.put(spark.range(10), "y")  # the last job's stages stay known to the scheduler
+    shelf.free()
+    for _ in range(50):
+        if not mine & kept():
+            break
+        time.sleep(0.2)
+    assert not mine & kept()
