@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import DIRECTORS, EPISODIC, THROUGH, in_list
 from ..operators import blocks
-from ..operators import graphs as gr
 from ..operators import iterative as it
 from ..operators.akm import Effects, estimate
 from ..session import Shelf
@@ -146,8 +145,8 @@ def betweenness_sample(d: Domain) -> DataFrame:
 @R.query()
 def eigenvector_centrality(d: Domain) -> DataFrame:
     """Eigenvector scores of the largest component, by edge weights."""
-    shelf = Shelf(d.spark, "eigen")
-    return gr.eigenvector(shelf.put(ties(d).select("src", "dst", "weight"), "ties"), shelf).select(F.col("node").alias("person"), F.round("score", 6).alias("score"))
+    g = graph(d, Shelf(d.spark, "eigen"), True)
+    return blocks.eigenvector(g).join(g.ids, "i").select(F.col("node").alias("person"), F.round("score", 6).alias("score"))
 
 
 @R.query()

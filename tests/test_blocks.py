@@ -142,3 +142,13 @@ def test_paths_of_blocks(spark, team, small):
     asked = targets.selectExpr(f"'{hub['node']}' as source", "target")
     want = {(r.target, r.hops, r.paths, tuple(r.path)) for r in graphs.shortest_paths(edges_of(spark, team), asked, Shelf(spark, "edges")).collect()}
     assert {(r.target, r.hops, r.paths, tuple(r.path)) for r in blocks.paths_from(g, hub["i"], targets).filter("hops > 0").collect()} == {w for w in want if w[1]}
+
+
+def test_eigenvector_of_blocks(spark, team, small):
+    apart = [*team, *[("other", p, True, 1.0, 1.0) for p in ("y1", "y2", "y3")]]  # a smaller component
+    want = {r.node: r.score for r in graphs.eigenvector(edges_of(spark, apart), Shelf(spark, "edges")).collect()}
+    g = of_teams(spark, apart, "blocks", True)
+    got = {r.node: r.score for r in blocks.eigenvector(g).join(g.ids, "i").collect()}
+    assert got.keys() == want.keys() and "y1" not in got and all(abs(got[u] - want[u]) < 1e-9 for u in want)
+    empty = of_teams(spark, [("alone", "x", True, 1.0, 1.0)], "empty", True)
+    assert blocks.eigenvector(empty).collect() == []
