@@ -214,6 +214,78 @@ def test_candidates_equal_all_pairs(spark, monkeypatch, limit):
     assert {(r.a, r.b): round(r.sim, 9) for r in names.candidates(forms, ctx, Shelf(spark, "t")).collect()} == want
 
 
+def people(rng, n):
+    syllables = ["ka", "mo", "ri", "si", "te", "na", "ke", "ro", "u", "zi", "sa"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    kana = lambda: "".join(rng.choice("モリケンサカナテシ北村花") for _ in range(rng.randrange(1, 5)))
+    rows = []
+    for i in range(n):
+        base = rng.choice(rows)[1].split("\n")[0].split(" ") if rows and rng.random() < 0.3 else [word() for _ in range(rng.randrange(1, 4))]
+        k = rng.randrange(len(base))
+        base[k] = rng.choice([base[k][:1], base[k][:3], base[k], base[k][1:] + base[k][:1], base[k] + "o"])
+        rng.shuffle(base)
+        forms = [" ".join(base), *([f"{kana()} {kana()}"] if i % 3 == 0 else []), *(["モリ 北"] if i % 17 == 0 else [])]
+        rows.append((f"c:{i:03d}", "\n".join(forms), None if i % 5 == 0 else f"b:{1980 + i % 7}-01-02"))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_blocks_compare_few_names_and_lose_none(monkeypatch):
+    rows = people(random.Random(3), 240)
+    split = lambda r: [tuple(f.split(" ")) for f in r[1].split("\n")]
+    sim = {(x[0], y[0]): names.row_similarity(split(x), split(y)) for x, y in itertools.combinations(sorted(rows), 2)}
+    born = {r[0]: r[2] for r in rows}
+    calls, plain = [0], names.monge_elkan
+
+    def counted(a, b):
+        calls[0] += 1
+        return plain(a, b)
+
+    monkeypatch.setattr(names, "monge_elkan", counted)
+    for cells in (names.CELLS, 2000):
+        monkeypatch.setattr(names, "CELLS", cells)
+        for least in (names.LEAST, names.LEAST_DAY):
+            want = {p: s for p, s in sim.items() if s >= least}
+            assert len(want) > 20
+            assert {(a, b): s for a, b, s in names._alike(rows, None, least)} == want
+            one, two = rows[:90], rows[90:]
+            across = {p: s for p, s in want.items() if (p[0] in {r[0] for r in one}) != (p[1] in {r[0] for r in one})}
+            assert {(a, b): s for a, b, s in names._alike(one, two, least)} == across
+        # of one day, rows with different years link by equal names only, and those of one birth date are another item's pairs
+        clash = lambda a, b: born[a] and born[b]
+        calls[0] = 0
+        day = {(a, b): s for a, b, s in names._same_day(rows, None)}
+        assert day == {(a, b): s for (a, b), s in sim.items() if s >= (1.0 if clash(a, b) else names.LEAST_DAY)}
+        assert calls[0] < 0.1 * len(sim)
+
+
+def test_edits_equal_plain_table():
+    def plain(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return 1.0 - d[len(a), len(b)] / max(len(a), len(b))
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcあ") for _ in range(rng.randrange(1, 11))) for _ in "ab")
+        assert names._edit(a, b) == plain(a, b)
+
+
+def test_days_of_different_years_give_equal_names_only(spark, monkeypatch):
+    monkeypatch.setattr(names, "LIMIT", 3)
+    rows = [("c:1", "Kenziro Morino", "1990-01-02"), ("c:2", "Morino Kenziro", "1991-01-02"), ("c:3", "Kenziro Morina", "1992-01-02"), ("c:4", "Kenziro Morina", "--01-02")]
+    rows += [(f"z:{i:02d}", f"別{chr(0x4E00 + 97 * i)}{chr(0x5E00 + 61 * i)}号", "--01-02") for i in range(20)] + [("y:1", "別人", None)]
+    df = spark.createDataFrame([(i, n, "", "[]", d) for i, n, d in rows], PEOPLE)
+    cast = spark.createDataFrame([], CAST)
+    forms = df.select("id", "name_ja", "name_en", "aliases").mapInPandas(names._spell_rows, "id string, forms array<string>")
+    got = {(r.a, r.b) for r in names.candidates(forms, names.context(df, cast), Shelf(spark, "t")).collect()}
+    assert got == {("c:1", "c:2"), ("c:1", "c:4"), ("c:2", "c:4"), ("c:3", "c:4")}
+
+
 def test_common_items_support_links(spark):
     n = 300
     name = lambda i: f"別{chr(0x4E00 + 97 * i)}{chr(0x5E00 + 31 * i)}{chr(0x6E00 + 17 * i)}号"
