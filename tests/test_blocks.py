@@ -144,6 +144,33 @@ def test_paths_of_blocks(spark, team, small):
     assert {(r.target, r.hops, r.paths, tuple(r.path)) for r in blocks.paths_from(g, hub["i"], targets).filter("hops > 0").collect()} == {w for w in want if w[1]}
 
 
+def test_paths_of_blocks_go_to_the_end(spark, small):
+    chain = [(f"w{k:02d}", p, True, 1.0, 1.0) for k in range(12) for p in (f"c{k:02d}", f"c{k + 1:02d}", f"d{k + 1:02d}")]
+    g = of_teams(spark, chain, "long", False)
+    targets = g.ids.select("node").toDF("target")
+    got = {r.target: (r.hops, r.paths, r.path[-1]) for r in blocks.paths_from(g, g.ids.filter("node = 'c00'").first()["i"], targets).collect()}
+    assert got == {t: (int(t[1:]), 1, t) for t in partners(chain)}
+
+
+def test_paths_from_hub_reach_every_person(spark):
+    import __spark_entry__
+
+    q, data = __spark_entry__.queries(), "/root/testdata/sf0.001"
+    nb = {}
+    for r in q["collaboration_edges"](spark, data).collect():
+        nb.setdefault(r.src, set()).add(r.dst)
+        nb.setdefault(r.dst, set()).add(r.src)
+    persons = {r[0] for r in spark.read.parquet(f"{data}/persons.parquet").selectExpr("lower(trim(id))").collect()}
+    rows = q["paths_from_hub"](spark, data).collect()
+    hops = {rows[0].source: 0}
+    front = set(hops)
+    while front:
+        front = {v for u in front for v in nb[u]} - hops.keys()
+        hops |= dict.fromkeys(front, max(hops.values()) + 1)
+    assert {r.target: r.hops for r in rows} == {p: h for p, h in hops.items() if p in persons} and len(rows) > 50
+    assert all(len(p) == r.hops + 1 and p[-1] == r.target and all(v in nb[u] for u, v in zip(p, p[1:])) for r in rows for p in [r.path.split(",")])
+
+
 def test_eigenvector_of_blocks(spark, team, small):
     apart = [*team, *[("other", p, True, 1.0, 1.0) for p in ("y1", "y2", "y3")]]  # a smaller component
     want = {r.node: r.score for r in graphs.eigenvector(edges_of(spark, apart), Shelf(spark, "edges")).collect()}
