@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import cooccur, linkage, minhash, names, survivor
+from reelspark.llm import cooccur, linkage, minhash, names, survivor, titles
 from reelspark.session import Shelf
 
 CREDITS = "role string, anime_id string, person_id string, s string"
@@ -377,6 +377,41 @@ def test_title_candidates_equal_brute_force(spark):
     assert len(want) > 50 and not [(rows[a], rows[r]) for a, r in want - got]
 
 
+def test_titles_are_shuffled_not_their_keys(spark):
+    rng = random.Random(9)
+    rows = [(i, "ar"[i % 2], "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(12)), "".join(rng.choice("abcdefghijklmnop") for _ in range(32)), 1, False, 2000 + rng.randrange(8), None) for i in range(4000)]
+    nodes = spark.createDataFrame(rows, "node long, side string, ja string, en string, season int, film boolean, year int, date string")
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        spark.range(10).count()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = written()
+    linkage.candidate_edges(nodes, Shelf(spark, "t")).count()
+    assert written() - before < 12 * sum(len(x[2].encode()) + len(x[3]) for x in rows)
+
+
+@pytest.mark.parametrize("limit", [1000, 7])
+def test_slices_of_a_year_lose_no_pair(spark, monkeypatch, limit):
+    monkeypatch.setattr(linkage, "SLICE", limit)  # a year in one piece, or slices of each side that meet all of the other
+    monkeypatch.setattr(linkage, "HELD", 3 * limit)
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        ja = "".join(chr(0x4E00 + rng.randrange(30)) for _ in range(9))
+        year = rng.choice([None, 1999, 2000, 2001, 2004])
+        day = rng.choice([None, "2000-01-02", "2004-05-06"])
+        rows += [("a", ja, "", 1, i % 9 == 0, year, day), ("r", ja[:4] + "三" + ja[5:], "", rng.choice([1, 1, 2]), i % 9 == 0, rng.choice([None, year, 2000]), day), ("r", ja[::3] + ja[7], "", 1, False, year, None)]
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node long, side string, ja string, en string, season int, film boolean, year int, date string").cache()
+    fits = lambda x, y: (x[3:5] == y[3:5] and (x[5] is None or y[5] is None or abs(x[5] - y[5]) <= 1)) or (x[6] is not None and x[6] == y[6])
+    plain = lambda x, y: len(x) == len(y) and sum(a != b for a, b in zip(x, y, strict=True)) <= 1
+    want = {(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if x[0] == "a" and y[0] == "r" and fits(x, y) and plain(x[1], y[1])}
+    got = {tuple(x) for x in linkage.candidate_edges(nodes, Shelf(spark, "t")).collect()}
+    assert len(want) > 30 and want <= got and all(fits(rows[i], rows[j]) for i, j in got)
+
+
 def test_title_marks_spare_no_alike_titles(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdeあ") for _ in range(rng.randrange(1, 24))) for _ in range(60)]
@@ -388,6 +423,14 @@ def test_title_marks_spare_no_alike_titles(spark):
     assert (True, False) not in n and n[True, True] > 100 and n[False, False] > 2 * n[False, True]
 
 
+def test_marks_on_arrays_equal_marks_in_plans(spark):
+    rng = random.Random(4)
+    texts = ["", *("".join(rng.choice("abcd三四五") for _ in range(rng.choice([1, 3, 5, 9, 40, 300]))) for _ in range(40))]
+    x = spark.createDataFrame([(t,) for t in texts if t], "t string").withColumn("m", linkage.title_mark("t"))
+    got = x.select("m").crossJoin(x.select(F.col("m").alias("k"))).withColumn("may", linkage.may_agree("m", "k")).collect()
+    assert titles.may_agree(np.array([g.m for g in got]), np.array([g.k for g in got])).tolist() == [g.may for g in got]
+
+
 def test_propagation_equals_plain_rounds(spark):
     rng = random.Random(8)
     nodes = [(i, "a" if i < 12 else "r", rng.choice(["", "xxx", "yyy", "zzz"]), rng.choice(["", "uuu", "vvv"]), 1, False) for i in range(24)]
