@@ -397,6 +397,8 @@ def test_titles_are_shuffled_not_their_keys(spark):
 def test_slices_of_a_year_lose_no_pair(spark, monkeypatch, limit):
     monkeypatch.setattr(linkage, "SLICE", limit)  # a year in one piece, or slices of each side that meet all of the other
     monkeypatch.setattr(linkage, "HELD", 3 * limit)
+    monkeypatch.setattr(linkage, "MOVED", 60 * limit)
+    monkeypatch.setattr(linkage, "GRAMS", 80 * limit)
     rng = random.Random(3)
     rows = []
     for i in range(60):
